@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookalike, splitting, termcounts
+from . import lookalike, neighbours, splitting, termcounts
 
 
 def queries() -> dict:
@@ -13,4 +13,6 @@ def queries() -> dict:
         "p2_forms": lookalike.p2_forms,
         "p3_found": termcounts.p3_found,
         "p3_terms": termcounts.p3_terms,
+        "p5_found": neighbours.p5_found,
+        "p5_neighbours": neighbours.p5_neighbours,
     }

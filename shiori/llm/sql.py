@@ -56,6 +56,14 @@ marked AS (
 )"""
 
 
+_COSINES = """rows AS (
+  SELECT search_unit_id AS unit, min(unit_seq) AS seq, any_value(matrix) AS vector FROM semantic_index
+  WHERE search_unit_id IS NOT NULL AND len(matrix) = 96 AND len(list_filter(matrix, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(matrix, lambda x: x <> 0)) > 0
+  GROUP BY search_unit_id
+),
+arrays AS (SELECT unit, seq, CAST(vector AS DOUBLE[96]) AS v FROM rows)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_TEXTS} SELECT DISTINCT table_name, record_id FROM texts WHERE length(text) > 1200",
@@ -65,4 +73,12 @@ ON a.table_name = b.table_name AND a.document_id = b.document_id AND a.form = b.
         "p2_forms": f"""WITH {_TEXTS} SELECT DISTINCT table_name, record_id, {_visible("text")} AS form, {_visible("text")} <> text AS changed FROM texts WHERE text IS NOT NULL""",
         "p3_found": f"""WITH {_term_counts()} SELECT term_id, 'rare' AS mark FROM marked WHERE is_rare UNION ALL SELECT term_id, 'common' FROM marked WHERE is_common""",
         "p3_terms": f"WITH {_term_counts()} SELECT * FROM marked",
+        "p5_found": f"""WITH {_COSINES},
+pairs AS (SELECT a.unit AS u, b.unit AS w, array_cosine_similarity(a.v, b.v) AS c FROM arrays a JOIN arrays b ON a.unit <> b.unit),
+best AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY c DESC, w) AS r FROM pairs WHERE c >= 0.8)
+SELECT DISTINCT least(u, w) AS unit_a, greatest(u, w) AS unit_b FROM best WHERE r <= 5""",
+        "p5_neighbours": f"""WITH {_COSINES},
+pairs AS (SELECT a.unit AS u, b.unit AS w, array_cosine_similarity(a.v, b.v) AS c FROM arrays a JOIN arrays b ON a.unit <> b.unit WHERE a.seq % 20 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY c DESC, w) AS r FROM pairs)
+SELECT u AS search_unit_id, w AS neighbour_id, round(c, 6) AS cosine, CAST(r AS INTEGER) AS rank FROM best WHERE r <= 5""",
     }
