@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, *partition_hint: str) -> DataFrame:
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the session's Python workers, once per session."""
+    if spark.conf.get("spark.shiori.shipped", None) is None:
+        package = Path(__file__).resolve().parent
+        bundle = shutil.make_archive(f"{tempfile.mkdtemp(prefix='shiori-')}/shiori", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(bundle)
+        spark.conf.set("spark.shiori.shipped", bundle)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: a cut of the lineage that
     survives lost executors. The table is removed when the driver ends, or earlier by release()."""
     spark = df.sparkSession
