@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookalike, neighbours, splitting, termcounts
+from . import lookalike, mixing, neighbours, packing, splitting, termcounts
 
 
 def queries() -> dict:
@@ -15,4 +15,8 @@ def queries() -> dict:
         "p3_terms": termcounts.p3_terms,
         "p5_found": neighbours.p5_found,
         "p5_neighbours": neighbours.p5_neighbours,
+        "p7_containers": packing.p7_containers,
+        "p7_fill": packing.p7_fill,
+        "p8_mix": mixing.p8_mix,
+        "p8_shares": mixing.p8_shares,
     }
