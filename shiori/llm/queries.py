@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookalike, mixing, neighbours, packing, splitting, termcounts
+from . import lookalike, mixing, neighbours, packing, spam, splitting, termcounts
 
 
 def queries() -> dict:
@@ -19,4 +19,6 @@ def queries() -> dict:
         "p7_fill": packing.p7_fill,
         "p8_mix": mixing.p8_mix,
         "p8_shares": mixing.p8_shares,
+        "p9_found": spam.p9_found,
+        "p9_pages": spam.p9_pages,
     }
