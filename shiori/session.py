@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -61,10 +63,18 @@ def ship(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back: a cut of the lineage that
-    survives lost executors. The table is removed when the driver ends, or earlier by release()."""
+    survives lost executors. The table is removed when the driver ends, or earlier by release().
+
+    The shuffle files of the write are dropped at its end (where this Spark can do so), so a long query
+    holds the files of one step at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shiori-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._shiori_path = path
