@@ -41,7 +41,7 @@ LOOK_ALIKE = {
 }
 
 _SPACES = {"\t"}
-_BREAKS = {"\r", "\x0b", "\x0c", "\x85", " ", " "}
+_BREAKS = {"\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029"}
 #: Format characters that do have a glyph, and fillers outside Cf that have none.
 _VISIBLE_FORMAT = {chr(x) for x in (*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)}
 _NO_GLYPH = {chr(x) for x in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))}
@@ -65,8 +65,8 @@ def _single(char: str) -> str:
 
 
 @cache
-def _tables() -> tuple[dict[int, str], re.Pattern[str]]:
-    """The mapping of changing characters, and the pattern of a changing run with its context."""
+def _tables() -> tuple[dict[int, str], re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+    """The mapping of changing characters; patterns of a run of them, of a joining mark, and of a run with its context."""
     mapped, maybe = {}, set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
     for code in (*range(0x3400), *range(0x4E00, 0xA000), *range(0xA640, 0xABFF), *range(0xF900, 0x10000), *range(0x10A00, 0x11A00), *range(0x1D100, 0x1D200), *range(0x1E000, 0x1EA00), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0)):
         if 0xD800 <= code < 0xE000:
@@ -80,16 +80,25 @@ def _tables() -> tuple[dict[int, str], re.Pattern[str]]:
             maybe.add(code)
         if len(full) > 1 and unicodedata.normalize("NFC", full) == char:
             maybe.add(ord(unicodedata.normalize("NFD", char)[-1]))
-    unstable = sorted(mapped.keys() | maybe)
-    spans, first = [], unstable[0]
-    for a, b in zip(unstable, [*unstable[1:], None]):
+    maybe |= {k for k, form in mapped.items() if any(ord(c) in maybe for c in form)}
+    plain = re.compile(f"(?:\r\n|[{_spans(k for k in mapped if k < 0x10000)}])+")
+    hard = re.compile(f"[{_spans(k for k in maybe if k < 0x10000)}]")
+    every = _spans(mapped.keys() | maybe)
+    return mapped, plain, hard, re.compile(f"[^{every}]?(?:\r\n|[{every}])+")
+
+
+def _spans(codes) -> str:
+    """The inside of a character class."""
+    ordered, out = sorted(codes), []
+    first = ordered[0]
+    for a, b in zip(ordered, [*ordered[1:], None]):
         if b != a + 1:
-            spans.append(f"\\U{first:08x}-\\U{a:08x}")
+            out.append(f"\\U{first:08x}-\\U{a:08x}")
             first = b
-    chars = "".join(spans)
-    return mapped, re.compile(f"[^{chars}]?(?:\r\n|[{chars}])+")
+    return "".join(out)
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _known: dict[str, str] = {}
 
 
@@ -106,8 +115,15 @@ def _canonical(run: re.Match[str]) -> str:
 
 
 def visible_form(text: str) -> str:
-    """The one form of all texts that look like text."""
-    return text if text.isascii() and text.isprintable() else _tables()[1].sub(_canonical, text)
+    """The one form of all texts that look like text.
+
+    Only where the text holds marks that may join the character before them, or characters beyond the
+    basic plane, do the runs need the context before them.
+    """
+    if text.isascii() and text.isprintable():
+        return text
+    _, plain, hard, full = _tables()
+    return (full if hard.search(text) or _ASTRAL.search(text) else plain).sub(_canonical, text)
 
 
 def fold_width(text: str) -> str:
