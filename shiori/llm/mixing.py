@@ -107,7 +107,7 @@ def mix_shares(draws: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
-    return cut(with_sizes(table(spark, folder, "documents", "doc_id", "source", "text"), tokenizer))
+    return cut(with_sizes(table(spark, folder, "documents", "doc_id", "source", "text"), tokenizer, copies=False))
 
 
 def p8_mix(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -23,7 +23,7 @@ from ..sources.tables import table
 
 STATES = ["prose", "record", "title", "link", "tag", "menu"]
 LISTS = np.array([False, False, False, True, True, True])
-#: Labelled pages the model is fitted on, at most (those with the smallest hashes), and their characters, at most.
+#: Labelled pages the model is fitted on, at most (those with the smallest hashes), and the length of the longest.
 LABELLED_PAGES = 2_000
 LABELLED_CHARS = 20_000
 ROUNDS = 6
@@ -276,10 +276,10 @@ def list_share(texts: list[str | None], model: LineModel) -> tuple[np.ndarray, n
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most LABELLED_PAGES labelled pages (the first LABELLED_CHARS characters of each), in a fixed order."""
+    """At most LABELLED_PAGES labelled pages of up to LABELLED_CHARS characters, in a fixed order."""
     once = labels.where(F.col("doc_id").isNotNull() & F.col("is_spam").isNotNull()).groupBy("doc_id").agg(F.max("is_spam").alias("is_spam"))
     few = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_PAGES)
-    pages = documents.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("doc_id", F.substring("text", 1, LABELLED_CHARS).alias("text"), "is_spam")
+    pages = documents.where(F.length("text") <= LABELLED_CHARS).join(F.broadcast(few), "doc_id").select("doc_id", "text", "is_spam")
     return [(r["text"], r["is_spam"]) for r in sorted(pages.collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from hashlib import md5
 
 import pyarrow as pa
 import tiktoken
@@ -32,22 +33,25 @@ def source_name(column: str = "source"):
     return F.replace(F.lower(F.trim(column)), F.lit("-"), F.lit("_"))
 
 
-def with_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def with_sizes(documents: DataFrame, path: str = TOKENIZER, copies: bool = True) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of each document; the texts stay where they are scanned.
 
-    copies names the group of texts of one visible form. Defined results: null and empty texts have 0
-    tokens; repeated rows of a doc_id count once, of different ones the longest; a null source stays null.
+    copies names the group of texts of one visible form; it is left out if not wanted. Defined results:
+    null and empty texts have 0 tokens; repeated rows of a doc_id count once, of different ones the
+    longest; a null source stays null.
     """
     rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", source_name().alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    fields = [*rows.schema.fields[:2], StructField("n_tokens", IntegerType()), StructField("form", StringType())]
+    fields = [*rows.schema.fields[:2], StructField("n_tokens", IntegerType()), *[StructField("copies", StringType())] * copies]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            sizes = pa.array([len(encode(t)) for t in texts], pa.int32())
-            forms = pa.array([visible_form(t) for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, forms], names=["doc_id", "source", "n_tokens", "form"])
+            columns = [batch.column(0), batch.column(1), pa.array([len(encode(t)) for t in texts], pa.int32())]
+            if copies:
+                columns.append(pa.array([md5(visible_form(t).encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    sized = rows.mapInArrow(run, StructType(fields)).select("doc_id", "source", "n_tokens", F.md5("form").alias("copies"))
-    return sized.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "copies", "source")).alias("r")).select("doc_id", "r.source", "r.n_tokens", "r.copies")
+    sized = rows.mapInArrow(run, StructType(fields))
+    return sized.groupBy("doc_id").agg(F.max(F.struct("n_tokens", *[n for n in names if n not in ("doc_id", "n_tokens")])).alias("r")).select("doc_id", *[f"r.{n}" for n in names if n != "doc_id"])
