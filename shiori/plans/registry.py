@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import hierarchy, references
-from . import sql
+from . import catalogue, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def queries() -> dict[str, Query]:
         "p6_found": hierarchy.p6_found,
         "p6_hierarchy": hierarchy.p6_hierarchy,
         "p6_descendants": hierarchy.p6_descendants,
-    }
+    } | {q.__name__: q for q in catalogue.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
