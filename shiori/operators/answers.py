@@ -27,7 +27,7 @@ def diagnose(questions: DataFrame, predictions: DataFrame, chunks: DataFrame, hi
     The corpus is searched by anchors (operators.containment), not question by question.
     """
     asked = questions.where(F.length("expected") > 0).select("query_id", "expected")
-    where = contains(chunks.select("cid", "text"), "text", asked, "expected").select("query_id", "cid").distinct()
+    where = contains(chunks.select("cid", "text"), "cid", "text", asked, "expected").select("query_id", "cid").distinct()
     corpus = where.select("query_id").distinct().withColumn("in_corpus", F.lit(True))
     top = where.join(hits.select("query_id", "cid").distinct(), ["query_id", "cid"]).select("query_id").distinct().withColumn("in_top", F.lit(True))
     rows = questions.select("query_id", "expected").join(predictions.select("query_id", "predicted"), "query_id", "left").join(corpus, "query_id", "left").join(top, "query_id", "left")

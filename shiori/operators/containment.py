@@ -14,11 +14,12 @@ from ..functions.text import grams
 ANCHOR = 8
 
 
-def contains(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, words: bool = False) -> DataFrame:
-    """Rows of texts joined to the rows of patterns whose pattern the text contains, each pair once.
+def contains(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str, words: bool = False) -> DataFrame:
+    """Rows of texts, whose key is unique, joined to the rows of patterns whose pattern the text contains.
 
     The column names of both must differ. With words set, ASCII patterns must stand alone, not within a
-    word or beside a hyphen. Null texts contain nothing; null and empty patterns are found nowhere.
+    word or beside a hyphen. Null texts contain nothing; null and empty patterns are found nowhere. Only
+    keys travel with the substrings; the texts join again the pairs whose anchor was found.
     """
     rows = patterns.where(F.length(pattern) > 0).distinct()
     size = F.least(F.length(pattern), F.lit(ANCHOR))
@@ -27,8 +28,9 @@ def contains(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, wor
     if not sizes:
         return texts.join(patterns, F.lit(False))
     parts = [F.when(F.length(text) >= n, grams(F.col(text), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
-    keyed = texts.withColumn("__anchor", F.explode(F.array_distinct(F.flatten(F.array(*parts)))))
-    found = keyed.join(rows, "__anchor").where(F.contains(F.col(text), F.col(pattern))).drop("__anchor")
+    keyed = texts.select(F.col(key), F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("__anchor"))
+    met = keyed.join(rows, "__anchor").drop("__anchor")
+    found = texts.join(met, key).where(F.contains(F.col(text), F.col(pattern)))
     if words:
         edge = F.concat(F.lit(r"(?<![0-9A-Za-z_-])\Q"), F.col(pattern), F.lit(r"\E(?![0-9A-Za-z_-])"))
         found = found.where(F.col(pattern).rlike(r"[^\x00-\x7F]") | F.regexp(F.col(text), edge))

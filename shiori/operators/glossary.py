@@ -25,7 +25,7 @@ def build(pairs: DataFrame) -> DataFrame:
 
 def lookup(questions: DataFrame, glossary: DataFrame) -> DataFrame:
     """(query_id, alias, canonical, ord): the aliases that occur in each question (query_id, query)."""
-    return contains(questions.select("query_id", "query"), "query", glossary, "alias", words=True).drop("query")
+    return contains(questions.select("query_id", "query"), "query_id", "query", glossary, "alias", words=True).drop("query")
 
 
 def expand(questions: DataFrame, glossary: DataFrame, heading: str = "[社内用語の展開]") -> DataFrame:

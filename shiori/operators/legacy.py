@@ -49,7 +49,7 @@ def search(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> DataFra
     index = build(units, "b")
     projects = cut(project_tokens(chunks.where(F.length("project") > 0).select("project").distinct()))
     hay = queries.select("query_id", F.concat_ws(" ", "query", F.array_join("names", " ")).alias("hay"))
-    hits = contains(hay, "hay", projects, "token").select("query_id", "project", "token")
+    hits = contains(hay, "query_id", "hay", projects, "token").select("query_id", "project", "token")
     targets = cut(hits.groupBy("query_id").agg(F.collect_set("project").alias("targets"), F.collect_set("token").alias("tokens")))
     asked = queries.join(targets, "query_id", "left")
     none = F.array().cast("array<string>")

@@ -48,6 +48,6 @@ def aliases_of_projects(projects: DataFrame, glossary: DataFrame) -> DataFrame:
     """(project, alias): aliases whose canonical name contains the project's name or lies within it."""
     from .containment import contains
 
-    inside = contains(projects.select("project"), "project", glossary.select("alias", "canonical"), "canonical")
-    around = contains(glossary.select("alias", "canonical"), "canonical", projects.select("project"), "project")
-    return inside.select("project", "alias").unionByName(around.select("project", "alias")).distinct()
+    inside = contains(projects.select("project").distinct(), "project", "project", glossary.select("alias", "canonical"), "canonical")
+    around = contains(glossary.select("canonical").distinct(), "canonical", "canonical", projects.select("project"), "project")
+    return inside.select("project", "alias").unionByName(around.join(glossary.select("alias", "canonical"), "canonical").select("project", "alias")).distinct()

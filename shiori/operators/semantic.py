@@ -29,8 +29,8 @@ def _best_of_block(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": left.column("query_id").slice(0, 0), "unit_seq": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        ids = right.column("unit_seq").to_numpy()
-        asked, given = _unit_rows(left.column("vector")), _unit_rows(right.column("vector"))
+        ids = right.column("unit").to_numpy()
+        asked, given = _unit_rows(left.column("asked")), _unit_rows(right.column("given"))
         out, short = [], given.astype(np.float32).T
         for at in range(0, len(asked), 512):
             rough = asked[at : at + 512].astype(np.float32) @ short
@@ -54,11 +54,12 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, dimensions:
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
-    vectors, queries = usable(vectors.select("unit_seq", "vector"), dimensions), usable(queries.select("query_id", "vector"), dimensions)
+    vectors = usable(vectors.select(F.col("unit_seq").alias("unit_seq"), F.col("vector").alias("vector")), dimensions)
+    queries = usable(queries.select(F.col("query_id").alias("query_id"), F.col("vector").alias("vector")), dimensions)
     blocks, groups = max(1, ceil(vectors.count() / VECTOR_BLOCK)), max(1, ceil(queries.count() / QUERY_BLOCK))
-    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = vectors.select("unit_seq", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("unit_seq"), F.lit(blocks)).cast("int").alias("block"))
+    left = queries.select("query_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = vectors.select(F.col("unit_seq").alias("unit"), F.col("vector").alias("given"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("of"), F.pmod(F.xxhash64("unit_seq"), F.lit(blocks)).cast("int").alias("part"))
     kind = dict(queries.dtypes)["query_id"]
-    found = left.groupBy("g", "block").cogroup(right.groupBy("g", "block")).applyInArrow(_best_of_block(top_k), f"query_id {kind}, unit_seq long, similarity double")
+    found = left.groupBy("g", "block").cogroup(right.groupBy("of", "part")).applyInArrow(_best_of_block(top_k), f"query_id {kind}, unit_seq long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 8).desc(), "unit_seq")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -135,9 +135,9 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def missing_targets(spark: SparkSession, folder: str) -> DataFrame:
-    """Units that the vectors name but that don't exist, or exist without vector target."""
-    named = table(spark, folder, "semantic_index").select(F.col("search_unit_id").alias("relevant_id"))
-    return evaluation.missing_targets(named.where(F.col("relevant_id").isNotNull()), records.units(spark, folder))
+    """Units that the vector index doesn't hold, so that no search of it can find them."""
+    relevance = records.units(spark, folder).select(F.col("search_unit_id").alias("relevant_id"))
+    return evaluation.missing_targets(relevance, table(spark, folder, "semantic_index", "search_unit_id"))
 
 
 def remap_targets(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import hierarchy, references
-from . import catalogue, sql
+from . import catalogue, sql, sql_catalogue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.SQL)
+    return sql.SQL | sql_catalogue.SQL
