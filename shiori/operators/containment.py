@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import grams
-
 ANCHOR = 8
 
 
@@ -27,7 +25,8 @@ def contains(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern
     sizes = sorted(r[0] for r in rows.select(size).distinct().collect())  # at most ANCHOR numbers
     if not sizes:
         return texts.join(patterns, F.lit(False))
-    parts = [F.when(F.length(text) >= n, grams(F.col(text), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    # A look-ahead finds the substrings in one pass; taking each by its position would be quadratic.
+    parts = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
     keyed = texts.select(F.col(key), F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("__anchor"))
     met = keyed.join(rows, "__anchor").drop("__anchor")
     found = texts.join(met, key).where(F.contains(F.col(text), F.col(pattern)))

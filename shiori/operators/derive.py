@@ -23,7 +23,10 @@ BUILDER, BUILDER_VERSION = "search-unit-builder", "0.2.0"
 SECTION, SLIDE = "セクション: ", "コンテナ種別: スライド\n"
 
 ORDER = ["seq", "evidence_id"]
-PLACE = F.struct("seq", "evidence_id")
+
+
+def _place() -> Column:
+    return F.struct("seq", "evidence_id")
 
 
 def display_value(raw_text: Column, raw_value: Column) -> Column:
@@ -89,7 +92,7 @@ def table_rows(rows: DataFrame) -> DataFrame:
     row_key = F.when(F.col("kind") == "c", _key("container", "row_no"))
     flow = previous(flow.withColumn("row_key", row_key), "document_id", ORDER, {"row_before": F.col("row_key")})
     starts = (F.col("kind") == "c") & ~F.col("row_key").eqNullSafe(F.col("row_before"))
-    runs = running_last(flow, "document_id", ORDER, {"run": (starts, PLACE)}).where(F.col("kind") == "c")
+    runs = running_last(flow, "document_id", ORDER, {"run": (starts, _place())}).where(F.col("kind") == "c")
     cell = F.struct("column_no", "seq", "evidence_id", "label", "value")
     each = runs.groupBy("document_id", "run", "container", "row_no").agg(F.array_sort(F.collect_list(cell)).alias("cells"), *[F.first(c, ignorenulls=True).alias(c) for c in ("sheet_name", "table_index", "slide_number", "shape_id")])
     populated = lambda c: F.filter(c, lambda x: x["value"] != "")
@@ -97,7 +100,7 @@ def table_rows(rows: DataFrame) -> DataFrame:
     heads = each.groupBy("document_id", "container").agg(F.min_by(F.struct("run", "cells", "filled"), F.struct("run")).alias("head"))
     headings = running_last(placed, "document_id", ORDER, {"heading": (F.col("evidence_type") == "heading", F.struct("evidence_id", "value"))})
     table = F.when(F.col("table_index").isNotNull(), _key(F.lit("table"), "slide_number", "shape_id", "table_index")).when(F.col("slide_number").isNotNull() & F.col("shape_id").isNotNull(), _key(F.lit("slide_table"), "slide_number", "shape_id"))
-    above = headings.where(F.col("kind") == "t").withColumn("container", table).where(F.col("container").isNotNull()).groupBy("document_id", "container").agg(F.max_by("heading", PLACE).alias("heading"))
+    above = headings.where(F.col("kind") == "t").withColumn("container", table).where(F.col("container").isNotNull()).groupBy("document_id", "container").agg(F.max_by("heading", _place()).alias("heading"))
     context = heads.join(above, ["document_id", "container"], "left")
     full = hot_join(each, context, ["document_id", "container"])
     is_head = F.col("head.run") == F.col("run")
@@ -162,7 +165,7 @@ def paragraph_chunks(rows: DataFrame, target_chars: int = TARGET_CHARS) -> DataF
     is_heading = F.col("evidence_type") == "heading"
     flow = running_last(flow, "document_id", ORDER, {
         "heading": (is_heading, F.struct("evidence_id", "value", "paragraph_index")),
-        "opened": (F.col("kind").isin("t", "c", "g") | is_heading, PLACE),
+        "opened": (F.col("kind").isin("t", "c", "g") | is_heading, _place()),
     })
     section = F.coalesce(F.concat_ws("\x1f", F.col("opened.seq").cast("string"), F.col("opened.evidence_id")), F.lit(""))
     paragraphs = flow.where(F.col("kind") == "p").select("document_id", section.alias("section"), "seq", "evidence_id", "value", "paragraph_index", "heading", F.length("value").alias("size"), F.length("heading.value").alias("heading_size"))
@@ -170,7 +173,7 @@ def paragraph_chunks(rows: DataFrame, target_chars: int = TARGET_CHARS) -> DataF
     packed = ordered.mapInArrow(_pack(target_chars), "document_id string, section string, seq long, evidence_id string, chunk int, again boolean")
     joined = paragraphs.join(packed, ["document_id", "section", "seq", "evidence_id"])
     item = F.struct("seq", "evidence_id", "value", "paragraph_index")
-    each = joined.groupBy("document_id", "section", "chunk", "again").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max_by("heading", PLACE).alias("heading"))
+    each = joined.groupBy("document_id", "section", "chunk", "again").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max_by("heading", _place()).alias("heading"))
     head = F.struct(F.lit(None).cast("long").alias("seq"), F.col("heading.evidence_id").alias("evidence_id"), F.col("heading.value").alias("value"), F.col("heading.paragraph_index").alias("paragraph_index"))
     items = F.when(F.col("again"), F.concat(F.array(head), F.col("items"))).otherwise(F.col("items"))
     each = each.withColumn("items", items)
@@ -191,7 +194,7 @@ def _texts_of(rows: DataFrame, kind: str, number: str, unit_type: str, prefix: s
     mine = (F.col("kind") == kind) & (F.col("value") != "") & F.col(number).isNotNull()
     flow = previous(rows.where(mine | F.col("kind").isin(breaks)), "document_id", ORDER, {"before": F.struct(F.col("kind").alias("kind"), F.col(number).alias("number"))})
     starts = mine & (F.col("before").isNull() | (F.col("before.kind") != kind) | ~F.col("before.number").eqNullSafe(F.col(number)))
-    runs = running_last(flow, "document_id", ORDER, {"run": (starts, PLACE)}).where(mine)
+    runs = running_last(flow, "document_id", ORDER, {"run": (starts, _place())}).where(mine)
     each = runs.groupBy("document_id", "run", number).agg(F.array_sort(F.collect_list(F.struct("seq", "evidence_id", "value"))).alias("items"))
     body = strip(F.array_join(F.transform("items", lambda x: x["value"]), "\n\n"))
     return each.select("document_id", F.lit(unit_type).alias("unit_type"), F.transform("items", lambda x: x["evidence_id"]).alias("source_evidence_ids"), _locator(**{number: F.col(number)}).alias("locator"), F.concat(F.lit(prefix), body).alias("search_text"), F.element_at("items", -1)["seq"].alias("last_seq"))
