@@ -51,8 +51,12 @@ def components(inner: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     first = hot_join(inner, own, ["tree", "parent"], "left", hot_rows).select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"))
     first = cut(first.withColumns({"ptr": F.coalesce("parent", "node"), "low": F.col("node"), "open": F.col("parent").isNotNull()}))
     done, state, length = [first.where(~F.col("open"))], first.where(F.col("open")), 1
-    all_rows, kept = first, [first]
-    while (left := state.count()) and length < left:
+    all_rows, kept, before = first, [first], None
+    # A round that closes no node leaves only walks that end on cycles: an open node of a tree has
+    # ancestors at every distance, of which each round closes some. Then the rounds go on until they are
+    # longer than any cycle.
+    while (left := state.count()) and not (left == before and length >= left):
+        before = left
         ahead = all_rows.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
         state = cut(hot_join(state, ahead, ["tree", "ptr"], "inner", hot_rows).select("tree", "node", "parent", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), F.col("open2").alias("open")))
         kept.append(state)
@@ -151,39 +155,43 @@ def _walk_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _jump_paths(rows: DataFrame, hot_rows: int) -> DataFrame:
-    """The walk's result for components too large for a task: pointer jumping with path segments."""
-    state = cut(rows.withColumns({"ptr": F.col("parent"), "path": F.array("node"), "low": F.col("node")}))
-    length = 1
-    while (left := state.where(F.col("ptr").isNotNull()).count()) and length < left:
-        ahead = state.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("path").alias("path2"), F.col("low").alias("low2"))
+    """The walk's result for components too large for a task, from tree, node, parent, label, rooted.
+
+    Trees get their paths by pointer jumping with path segments; components without a root end on a
+    cycle, whose smallest id their label already is.
+    """
+    empty = F.lit(None).cast("array<string>")
+    cyclic = rows.where(~F.col("rooted")).select("tree", "node", F.col("label").alias("root"), F.lit(-1).alias("depth"), empty.alias("path"), (F.col("parent") == F.col("label")).alias("back_edge"))
+    state = cut(rows.where("rooted").select("tree", "node", F.col("parent").alias("ptr"), F.array("node").alias("path"), "label"))
+    while state.where(F.col("ptr").isNotNull()).limit(1).count():
+        ahead = state.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("path").alias("path2"))
         joined = hot_join(state, ahead, ["tree", "ptr"], "left", hot_rows)
-        # A segment that has gone all round a cycle grows no further: its rows get no path in the end.
-        longer = F.when(F.col("path2").isNull(), F.col("path")).when(F.size("path") + F.size("path2") > left + 1, F.col("path")).otherwise(F.concat("path2", "path"))
-        after = cut(joined.select("tree", "node", "parent", F.when(F.col("ptr").isNotNull(), F.col("ptr2")).alias("ptr"), longer.alias("path"), F.least("low", "low2").alias("low"), "label"))
+        longer = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path"))
+        after = cut(joined.select("tree", "node", F.col("ptr2").alias("ptr"), longer.alias("path"), "label"))
         release(state)
-        state, length = after, length * 2
-    cyclic = F.col("ptr").isNotNull()
-    return state.select("tree", "node", F.col("label").alias("root"), F.when(cyclic, -1).otherwise(F.size("path") - 1).cast("int").alias("depth"), F.when(~cyclic, F.col("path")).alias("path"), (cyclic & (F.col("parent") == F.col("label"))).alias("back_edge"))
+        state = after
+    trees = state.select("tree", "node", F.col("label").alias("root"), (F.size("path") - 1).cast("int").alias("depth"), "path", F.lit(False).alias("back_edge"))
+    return trees.unionByName(cyclic)
 
 
 def hierarchy(nodes: DataFrame, max_component: int = MAX_COMPONENT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each node's place: tree, node, parent, root, depth, path (root to node), is_inner.
+    """Each node's place: tree, node, parent, root, depth, path (root to node).
 
     nodes: tree, node, parent (strings; other columns are ignored). A parent counts only if it is a node
-    of the same tree; otherwise the node is a root of depth 0. Nodes on a cycle, or whose parents run
+    of the same tree; otherwise the node is a root of depth 0 and its parent comes out null. Nodes on a cycle, or whose parents run
     into one, have depth -1, no path and the cycle's smallest id as root. Defined results: repeated rows
     count once; of several parents of one node the smallest counts; a null tree holds roots only; rows
     without node id are left out; an empty table gives no rows; the empty string is an id like any other.
     """
     nodes = cut(clean_nodes(nodes.select(*NODE)))
     labelled = components(inner_nodes(nodes), hot_rows)
-    sizes = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_component).select("tree", "label")
+    sizes = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("parent").isNull()).alias("rooted")).where(F.col("n") > max_component).select("tree", "label", "rooted")
     giants = cut(sizes)
     usual = labelled
     parts = []
     if giants.count():
         usual = labelled.join(giants, ["tree", "label"], "left_anti")
-        parts.append(_jump_paths(hot_join(labelled, giants, ["tree", "label"], "left_semi", hot_rows).select("tree", "node", "parent", "label"), hot_rows))
+        parts.append(_jump_paths(hot_join(labelled, giants, ["tree", "label"], "inner", hot_rows), hot_rows))
     near = usual.select("tree", "node", "parent", "label").repartition("tree", "label").sortWithinPartitions("tree", "label")
     parts.append(near.mapInArrow(_walk_partition, INNER_SCHEMA))
     inner = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -103,7 +103,7 @@ def notebook_cells(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     schema = "cells array<struct<id:string,cell_type:string,source:array<string>,outputs:array<struct<text:array<string>,data:struct<`text/plain`:array<string>>>>>>"
     raw = spark.read.schema(schema).option("multiLine", "true").json(paths).select(F.input_file_name().alias("path"), F.posexplode("cells").alias("at", "cell"))
     printed = F.flatten(F.transform("cell.outputs", lambda o: F.coalesce(o["text"], o["data"]["text/plain"], F.array().cast("array<string>"))))
-    return raw.select("path", F.coalesce("cell.id", F.concat(F.lit("cell-"), F.col("at").cast("string"))).alias("location"), F.col("cell.cell_type").alias("kind"), F.array_join("cell.source", "").alias("source"), F.array_join(printed, "").alias("output"))
+    return raw.select("path", F.coalesce("cell.id", F.concat(F.lit("cell-"), F.col("at").cast("string"))).alias("location"), F.col("cell.cell_type").alias("kind"), F.array_join("cell.source", "").alias("source"), F.coalesce(F.array_join(printed, ""), F.lit("")).alias("output"))
 
 
 def notebook_sections(cells: DataFrame, max_source: int = 6_000, max_output: int = 3_000) -> DataFrame:
