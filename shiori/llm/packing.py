@@ -28,7 +28,7 @@ from .tokens import TOKENIZER, with_sizes
 CAPACITY = 2_048
 LANE_ITEMS = 8_192
 SOURCE_LIMIT = 2
-SLACK = 0.01
+SLACK = 0.03
 
 
 class Bins:
