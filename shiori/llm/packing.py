@@ -7,9 +7,9 @@ their sources and one of their groups of copies; the successor search goes up fr
 it meets the tightest bin in which neither conflicts.
 
 A bin conflicts if it holds a copy of the text or SOURCE_LIMIT texts of its source. If no bin is free of
-conflict the source rule gives way; a new bin is opened next, until the lane has SLACK more bins than its
-tokens need; only beyond that may copies meet, so that a text which makes up a third of all rows can't
-leave the containers empty.
+conflict the source rule gives way; a new bin is opened next, until the lane has SLACK more bins than best
+fit without conflicts needs; only beyond that may copies meet, so that a text which makes up a third of
+all rows can't leave the containers empty.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ class Bins:
             step = (rest & -rest).bit_length() - 1
             r += step
             for bin_no in self.at[r]:
-                if not (self.copies[bin_no] & copy) and not (self.sources[bin_no][-1] & source):
+                if not (self.copies[bin_no] & copy) and not (source and self.sources[bin_no][-1] & source):
                     return bin_no
             rest >>= step + 1
             r += 1
@@ -87,9 +87,15 @@ def pack(items: list[tuple[int, str | None, str]], capacity: int = CAPACITY, sou
     source_bit = {s: 1 << k for k, s in enumerate(dict.fromkeys(s for _, s, _ in items if s is not None))}
     many = [c for c, n in Counter(c for _, _, c in items).items() if n > 1]
     copy_bit = {c: 1 << k for k, c in enumerate(many)}
-    allowed = -(-sum(n for n, _, _ in items) // capacity) * (1 + slack)
+    order = sorted(range(len(items)), key=lambda k: (-items[k][0], items[k][2], k))
+    free = Bins(capacity)  # what the sizes alone need
+    for k in order:
+        place = free.tightest(items[k][0], 0, 0)
+        free.put(free.open(0) if place is None else place, items[k][0], 0, 0)
+    allowed = len(free.residual) * (1 + slack)
     bins, out = Bins(capacity), [0] * len(items)
-    for k in sorted(range(len(items)), key=lambda k: (-items[k][0], items[k][2], k)):
+    # Copies go first, while there is room everywhere: late, the few open bins would all hold one already.
+    for k in sorted(order, key=lambda k: items[k][2] not in copy_bit):
         size, source, copies = items[k]
         s, c = source_bit.get(source, 0), copy_bit.get(copies, 0)
         place = bins.tightest(size, s, c)
