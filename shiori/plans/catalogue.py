@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ids import content_hash, stable_id
-from ..operators import answers, charts, derive, evaluation, fusion, glossary, index, legacy, lexical, mining, quality, semantic
+from ..operators import answers, charts, derive, documents, evaluation, fusion, glossary, index, legacy, lexical, mining, quality, semantic
 from ..session import cut
 from ..sources import records
 from ..sources.tables import table
@@ -364,6 +364,19 @@ def coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("extension", "status").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.coalesce(F.size("warnings"), F.lit(0))).alias("n_warnings"))
 
 
+def document_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Status of each document by the warnings of its evidence; truncated texts count as partial."""
+    rows = table(spark, folder, "evidence").select("evidence_id", "document_id", F.col("content.is_truncated").alias("cut"), F.explode_outer("provenance.warnings").alias("w")).distinct()
+    each = rows.select("document_id", F.when(F.col("cut"), "truncated").otherwise(F.col("w")).alias("warning"))
+    found = documents.status_of(each)
+    return found.select("document_id", "status", "n_evidence", F.array_join("warnings", ",").alias("warnings"))
+
+
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per hour and type: an extension, the same plan as on a stream."""
+    return incremental.event_windows(table(spark, folder, "events")).select("window_start", "event_type", "n_events", F.round("total", 6).alias("total"))
+
+
 def incremental_pending(spark: SparkSession, folder: str) -> DataFrame:
     """Documents to extract anew: the listing has every second hash changed, some statuses don't count as done."""
     listing = table(spark, folder, "source_documents").select(F.col("source.relative_path").alias("path"), F.col("source.sha256").alias("sha256")).distinct()
@@ -399,5 +412,5 @@ QUERIES = [
     context_budget, glossary_expand, paragraph_chunks, table_row_units, slide_units, page_units, derived_units, containment_edges, content_hashes, cell_positions,
     display_values, field_values, snippets, leaf_sample, round_robin_sample, chart_groupby, chart_points, chart_tables, chart_axis, colour_bins, colour_clusters,
     diagnose_answers, answer_categories, submission_check, submission_longest, violations_documents, violations_evidence, violations_relations, violations_units,
-    violations_lexical, violations_semantic, coverage_counts, incremental_pending, mined_dates, password_candidates, path_projects, plain_answers,
+    violations_lexical, violations_semantic, document_status, event_windows, coverage_counts, incremental_pending, mined_dates, password_candidates, path_projects, plain_answers,
 ]

@@ -411,6 +411,12 @@ nodes AS MATERIALIZED (SELECT DISTINCT 'document' AS k, document_id AS id FROM s
         "length not one": "SELECT row_no FROM semantic_index WHERE len(list_filter(matrix, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND abs(sqrt(coalesce(list_sum(list_transform(matrix, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 0)) - 1) > 1.1e-5",
         "unit missing": "SELECT row_no FROM semantic_index WHERE search_unit_id IS NULL OR search_unit_id NOT IN (SELECT search_unit_id FROM search_units WHERE search_unit_id IS NOT NULL)",
     }),
+    "document_status": """WITH ev AS MATERIALIZED (SELECT evidence_id, document_id, content.is_truncated AS cut, provenance.warnings AS ws FROM evidence),
+each AS (SELECT DISTINCT evidence_id, document_id, cut, w FROM (SELECT evidence_id, document_id, cut, unnest(CASE WHEN ws IS NULL OR len(ws) = 0 THEN [NULL] ELSE ws END) AS w FROM ev)),
+warned AS (SELECT document_id, CASE WHEN cut THEN 'truncated' ELSE w END AS warning FROM each)
+SELECT document_id, CASE WHEN count(warning) = 0 THEN 'success' WHEN bool_or(starts_with(warning, 'failed')) THEN 'failed' WHEN bool_or(starts_with(warning, 'deferred')) THEN 'deferred' ELSE 'partial' END AS status,
+  count(*) AS n_evidence, coalesce(string_agg(DISTINCT warning, ',' ORDER BY warning), '') AS warnings FROM warned WHERE document_id IS NOT NULL GROUP BY document_id""",
+    "event_windows": """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
     "coverage_counts": """WITH docs AS MATERIALIZED (SELECT DISTINCT document_id, source.extension AS extension, extraction.status AS status, extraction.warnings AS warnings FROM source_documents)
 SELECT extension, status, count(*) AS n_documents, CAST(sum(coalesce(len(warnings), 0)) AS BIGINT) AS n_warnings FROM docs GROUP BY extension, status""",
     "incremental_pending": """WITH docs AS MATERIALIZED (SELECT source.relative_path AS path, source.sha256 AS sha256, source.size_bytes AS n, extraction.status AS status FROM source_documents),

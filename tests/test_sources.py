@@ -139,3 +139,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i/postings")).count() == 3
     sinks.report(spark.createDataFrame([(1, "ok", "a", None)], "query_id int, category string, expected string, predicted string"), str(tmp_path / "d.md"))
     assert "## 1: ok" in (tmp_path / "d.md").read_text()
+
+
+def test_document_records(spark, share):
+    from shiori.operators import documents
+
+    listing = files.discover(spark, share, content=True)
+    rows = {r["source"]["relative_path"]: r for r in documents.records(listing, office.extract(listing)).collect()}
+    status = {k: r["extraction"]["status"] for k, r in rows.items()}
+    assert status == {"a.docx": "success", "c.pptx": "success", "d.pdf": "partial", "sub/e.docx": "deferred", "sub/f.docx": "failed", "Ｂ.XLSX": "success"}
+    assert rows["a.docx"]["document_id"].startswith("doc_") and rows["a.docx"]["n_evidence"] == 8
+    wanted = spark.createDataFrame([("a.docx",), ("a.docx",), ("../x.docx",), ("nix.docx",)], "relative_path string")
+    got = {(r["relative_path"], r["check"]) for r in documents.validate_inputs(listing, wanted).collect()}
+    assert got == {("a.docx", "repeated"), ("../x.docx", "outside the root"), ("../x.docx", "missing"), ("nix.docx", "missing")}
