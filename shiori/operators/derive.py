@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from ..functions.text import column_number, strip
+from ..session import cut
 from .joins import hot_join
 from .sequence import previous, running_last
 
@@ -90,30 +91,33 @@ def table_rows(rows: DataFrame) -> DataFrame:
     placed = cells(rows)
     flow = placed.where((F.col("kind") != "t") & ((F.col("kind") != "c") | F.col("container").isNotNull()))
     row_key = F.when(F.col("kind") == "c", _key("container", "row_no"))
-    flow = previous(flow.withColumn("row_key", row_key), "document_id", ORDER, {"row_before": F.col("row_key")})
+    flow = flow.select("document_id", *ORDER, "kind", "value", "container", "row_no", "column_no", "label", "sheet_name", "table_index", "slide_number", "shape_id", row_key.alias("row_key"))
+    flow = previous(flow, "document_id", ORDER, {"row_before": F.col("row_key")})
     starts = (F.col("kind") == "c") & ~F.col("row_key").eqNullSafe(F.col("row_before"))
     runs = running_last(flow, "document_id", ORDER, {"run": (starts, _place())}).where(F.col("kind") == "c")
     cell = F.struct("column_no", "seq", "evidence_id", "label", "value")
     each = runs.groupBy("document_id", "run", "container", "row_no").agg(F.array_sort(F.collect_list(cell)).alias("cells"), *[F.first(c, ignorenulls=True).alias(c) for c in ("sheet_name", "table_index", "slide_number", "shape_id")])
     populated = lambda c: F.filter(c, lambda x: x["value"] != "")
-    each = each.withColumn("filled", populated(F.col("cells"))).where(F.size("filled") > 0)
-    heads = each.groupBy("document_id", "container").agg(F.min_by(F.struct("run", "cells", "filled"), F.struct("run")).alias("head"))
-    headings = running_last(placed, "document_id", ORDER, {"heading": (F.col("evidence_type") == "heading", F.struct("evidence_id", "value"))})
+    each = cut(each.where(F.exists("cells", lambda x: x["value"] != "")))
+    # What a container's first row says about the others is worked out once, below the join.
+    heads = each.groupBy("document_id", "container").agg(F.min_by(F.struct("run", "cells"), F.col("run")).alias("head"))
+    heads = heads.select("document_id", "container", F.col("head.run").alias("head_run"), populated(F.col("head.cells")).alias("named"))
+    later = F.filter("named", lambda x, i: ~F.exists(F.slice("named", i + 2, F.size("named")), lambda y: y["column_no"] == x["column_no"]))  # the last cell of a column names it
+    heads = heads.select("document_id", "container", "head_run", F.transform("named", lambda h: h["evidence_id"]).alias("head_ids"), F.map_from_entries(F.transform(later, lambda h: F.struct(h["column_no"], h["value"]))).alias("labels"))
+    is_heading = F.col("evidence_type") == "heading"
+    marks = rows.where((F.col("kind") == "t") | is_heading).select("document_id", *ORDER, "kind", "evidence_type", "value", "table_index", "slide_number", "shape_id")
+    headings = running_last(marks, "document_id", ORDER, {"heading": (is_heading, F.struct("evidence_id", "value"))})
     table = F.when(F.col("table_index").isNotNull(), _key(F.lit("table"), "slide_number", "shape_id", "table_index")).when(F.col("slide_number").isNotNull() & F.col("shape_id").isNotNull(), _key(F.lit("slide_table"), "slide_number", "shape_id"))
     above = headings.where(F.col("kind") == "t").withColumn("container", table).where(F.col("container").isNotNull()).groupBy("document_id", "container").agg(F.max_by("heading", _place()).alias("heading"))
-    context = heads.join(above, ["document_id", "container"], "left")
+    context = cut(heads.join(above, ["document_id", "container"], "left"))
     full = hot_join(each, context, ["document_id", "container"])
-    is_head = F.col("head.run") == F.col("run")
-    named = F.filter(F.col("head.cells"), lambda h: h["value"] != "")
-    of_column = lambda x: F.coalesce(F.element_at(F.map_from_entries(F.col("labels")), x["column_no"]), x["label"])
-    distinct_labels = F.transform(named, lambda h: F.struct(h["column_no"], h["value"]))
-    # Of several header cells in one column the last names it.
-    last_of = F.filter(distinct_labels, lambda x, i: ~F.exists(F.slice(distinct_labels, i + 2, F.size(distinct_labels)), lambda y: y["column_no"] == x["column_no"]))
-    full = full.withColumn("labels", F.when(is_head, F.array().cast("array<struct<column_no:int,value:string>>")).otherwise(last_of))
-    lines = F.transform("filled", lambda x: F.concat(of_column(x), F.lit(": "), x["value"]))
-    section = F.when(F.col("heading.value") != "", F.array(F.concat(F.lit(SECTION), F.col("heading.value")))).otherwise(F.array().cast("array<string>"))
+    is_head = F.col("head_run") == F.col("run")
+    of_column = lambda x: F.when(is_head, x["label"]).otherwise(F.coalesce(F.element_at("labels", x["column_no"]), x["label"]))
+    filled = populated(F.col("cells"))
+    lines = F.transform(filled, lambda x: F.concat(of_column(x), F.lit(": "), x["value"]))
     none = F.array().cast("array<string>")
-    ids = F.array_distinct(F.concat(F.when(F.col("heading.value") != "", F.array("heading.evidence_id")).otherwise(none), F.when(is_head, none).otherwise(F.transform(named, lambda h: h["evidence_id"])), F.transform("filled", lambda x: x["evidence_id"])))
+    section = F.when(F.col("heading.value") != "", F.array(F.concat(F.lit(SECTION), F.col("heading.value")))).otherwise(none)
+    ids = F.array_distinct(F.concat(F.when(F.col("heading.value") != "", F.array("heading.evidence_id")).otherwise(none), F.when(is_head, none).otherwise(F.col("head_ids")), F.transform(filled, lambda x: x["evidence_id"])))
     in_sheet = F.col("container").startswith("sheet\x1f")
     locator = _locator(
         row_index=F.col("row_no"),

@@ -46,7 +46,7 @@ def build(units: DataFrame, kind: str = "a") -> LexicalIndex:
     One pass makes the postings, which are written sorted by term; everything else derives from them.
     Terms are grouped with a partial count on the map side, so common terms don't gather anywhere.
     """
-    postings = cut(term_frequencies(units, kind).repartitionByRange("term", "unit_seq").sortWithinPartitions("term", "unit_seq"))
+    postings = cut(term_frequencies(units, kind).repartition("term").sortWithinPartitions("term", "unit_seq"))
     lengths = postings.groupBy("unit_seq").agg(F.sum("term_frequency").alias("document_length"))
     documents = cut(units.join(lengths, "unit_seq", "left"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"))
