@@ -109,7 +109,7 @@ def _hybrid(spark: SparkSession, folder: str, adaptive: bool) -> DataFrame:
     asked = cases.join(vectors, "unit_seq").select(F.col("eval_case_id").alias("query_id"), "vector")
     names = vectors.select("unit_seq", "search_unit_id")
     semantic_hits = semantic.search(vectors, asked, 50, DIMENSIONS).join(names, "unit_seq")
-    return fusion.hybrid(lexical_hits, semantic_hits, _queries(cases), adaptive=adaptive).select("query_id", "rank", "search_unit_id", F.round("score", 8).alias("score"), "lexical_rank", "semantic_rank")
+    return fusion.hybrid(lexical_hits, semantic_hits, _queries(cases), adaptive=adaptive).select("query_id", "rank", "search_unit_id", "score", "lexical_rank", "semantic_rank")
 
 
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:

@@ -149,7 +149,7 @@ merged AS (
     SELECT query_id, search_unit_id, rank AS l, CAST(NULL AS INTEGER) AS s FROM hits UNION ALL SELECT query_id, search_unit_id, NULL, rank FROM semantic) GROUP BY ALL
 ),
 fused AS (SELECT *, CAST(coalesce(1.0 / (60 + lexical_rank), 0) + coalesce(CAST(w AS DOUBLE) / (60 + semantic_rank), 0) AS DOUBLE) AS score FROM merged JOIN weights USING (query_id))
-SELECT query_id, rank, search_unit_id, round(score, 8) AS score, lexical_rank, semantic_rank FROM (
+SELECT query_id, rank, search_unit_id, round(score, 10) AS score, lexical_rank, semantic_rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, search_unit_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 10"""
 
 
