@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -58,6 +59,40 @@ def tokens_b(lowered: Column) -> Column:
     return F.concat(words, F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(grams(r, 2)))))
 
 
+def _python(pattern: str, blocks: str) -> regex.Pattern[str]:
+    """A pattern whose BLOCKS are Java's classes, for Python."""
+    return regex.compile(pattern.replace("BLOCKS", regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), blocks)), regex.V1)
+
+
+_RUNS_A = _python(r"[0-9a-zA-Z]+|([BLOCKS]+)|[[\p{L}\p{N}]--[0-9a-zA-ZBLOCKS]]+", JAPANESE_A)
+_WORDS_B = regex.compile(r"[0-9A-Za-z_][0-9A-Za-z_.\-]*")
+_RUNS_B = _python(r"[BLOCKS]+", JAPANESE_B)
+
+
+def script_run_tokens(text: str) -> list[str]:
+    """tokens_a of a text that isn't folded yet, in Python."""
+    out = []
+    for m in _RUNS_A.finditer(unicodedata.normalize("NFKC", text).casefold()):
+        run = m.group()
+        if m.group(1) is None:
+            out.append("w:" + run)
+        elif len(run) == 1:
+            out.append("j1:" + run)
+        else:
+            out += ["j2:" + run[k : k + 2] for k in range(len(run) - 1)]
+            out += ["j3:" + run[k : k + 3] for k in range(len(run) - 2)]
+    return out
+
+
+def word_pair_tokens(text: str) -> list[str]:
+    """tokens_b of a text that isn't lowered yet, in Python."""
+    low = unicodedata.normalize("NFKC", text).lower()
+    out = _WORDS_B.findall(low)
+    for run in _RUNS_B.findall(low):
+        out += [run] if len(run) == 1 else [run[k : k + 2] for k in range(len(run) - 1)]
+    return out
+
+
 def without_space(folded: Column) -> Column:
     return F.regexp_replace(folded, SPACE, "")
 

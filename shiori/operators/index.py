@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compatible_fold, compatible_lower, tokens_a, tokens_b
+from ..functions.text import compatible_fold, compatible_lower, script_run_tokens, tokens_a, tokens_b, word_pair_tokens
 from ..session import cut
 
 
@@ -18,9 +21,30 @@ def tokenize(texts: DataFrame, text: str = "search_text", kind: str = "a") -> Da
 
 
 def term_frequencies(units: DataFrame, kind: str = "a", text: str = "search_text", key: str = "unit_seq") -> DataFrame:
-    """(key, term, term_frequency) of units that have any token."""
-    tokens = tokenize(units.select(key, text), text, kind)
-    return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("term_frequency"))
+    """(key, term, term_frequency) of units that have any token; the key is unique.
+
+    A unit's text is in one row, so its terms are folded, cut and counted in the same pass, without a
+    shuffle. Null texts have no terms.
+    """
+    tokens = script_run_tokens if kind == "a" else word_pair_tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, terms, counts = [], [], []
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                counted = Counter(tokens(value)) if value else {}
+                at += [k] * len(counted)
+                terms += counted.keys()
+                counts += counted.values()
+                if len(terms) >= 200_000:
+                    yield rows(batch, at, terms, counts)
+                    at, terms, counts = [], [], []
+            yield rows(batch, at, terms, counts)
+
+    def rows(batch: pa.RecordBatch, at: list, terms: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[key, "term", "term_frequency"])
+
+    return units.select(key, text).mapInArrow(run, f"{key} {dict(units.dtypes)[key]}, term string, term_frequency long")
 
 
 def inverse_document_frequency(n: float, df):
@@ -43,10 +67,11 @@ class LexicalIndex:
 def build(units: DataFrame, kind: str = "a") -> LexicalIndex:
     """Index of units (unit_seq unique, search_text; other columns are kept in documents).
 
-    One pass makes the postings, which are written sorted by term; everything else derives from them.
-    Terms are grouped with a partial count on the map side, so common terms don't gather anywhere.
+    One pass makes the postings, which are written where they arise; everything else derives from them.
+    Terms are counted with a partial count on the map side, so common terms don't gather anywhere. A
+    lasting index is sorted by term when it is written (sources.sinks.write_index).
     """
-    postings = cut(term_frequencies(units, kind).repartition("term").sortWithinPartitions("term", "unit_seq"))
+    postings = cut(term_frequencies(units, kind))
     lengths = postings.groupBy("unit_seq").agg(F.sum("term_frequency").alias("document_length"))
     documents = cut(units.join(lengths, "unit_seq", "left"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"))

@@ -26,10 +26,12 @@ def values(spark, texts, column):
 )
 def test_script_run_tokens(spark, text, tokens):
     assert values(spark, [text], T.tokens_a(F.col("f"))) == [tokens.split()]
+    assert T.script_run_tokens(text) == tokens.split()
 
 
 def test_words_before_pairs(spark):
     assert values(spark, ["für a_b.c 東京都 x-1", None], T.tokens_b(F.col("l"))) == [["f", "r", "a_b.c", "x-1", "東京", "京都"], None]
+    assert T.word_pair_tokens("für a_b.c 東京都 x-1") == ["f", "r", "a_b.c", "x-1", "東京", "京都"]
 
 
 def test_field_values_and_strip(spark):
