@@ -74,6 +74,6 @@ def build(units: DataFrame, kind: str = "a") -> LexicalIndex:
     postings = cut(term_frequencies(units, kind))
     lengths = postings.groupBy("unit_seq").agg(F.sum("term_frequency").alias("document_length"))
     documents = cut(units.join(lengths, "unit_seq", "left"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"))
+    terms = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency")))
     size = documents.where(F.col("document_length").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("document_length").alias("a")).first()
     return LexicalIndex(postings, terms, documents.where(F.col("document_length").isNotNull()), documents.where(F.col("document_length").isNull()), size["n"], size["a"] or 0.0)

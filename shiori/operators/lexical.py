@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, compatible_fold, field_values, tokens_a, without_space
+from ..session import cut
 from .index import LexicalIndex, inverse_document_frequency
 
 K1, B = 1.2, 0.75
@@ -50,7 +51,7 @@ def ranked(scored: DataFrame, by: str, ties: str, k: int, key: str = "query_id")
 def search_bm25(index: LexicalIndex, queries: DataFrame, top_k: int = 10, unit_types: list[str] | None = None) -> DataFrame:
     """The top_k units of each query by BM25 alone. A filter on unit types acts after scoring, so the corpus
     statistics stay those of all units."""
-    scored = score(index, query_terms(queries))
+    scored = score(index, cut(query_terms(queries)))
     if unit_types:
         scored = scored.join(index.documents.where(F.col("unit_type").isin(unit_types)).select("unit_seq"), "unit_seq", "left_semi")
     return ranked(scored, "lexical_score", "unit_seq", top_k)
@@ -75,13 +76,13 @@ def search(
     """
     if top_k < 1 or snippet_chars < 1 or field_value_weight < 0 or parent_context_penalty < 0:
         raise ValueError("top_k and snippet_chars must be at least 1, weights at least 0")
-    terms = query_terms(queries)
+    terms = cut(query_terms(queries))
     scored = score(index, terms, k1, b)
     if unit_types:
         scored = scored.join(index.documents.where(F.col("unit_type").isin(unit_types)).select("unit_seq"), "unit_seq", "left_semi")
     pool = ranked(scored, "lexical_score", "unit_seq", max(50, 5 * top_k)).drop("rank")
     columns = ["unit_seq", "search_unit_id", "document_id", "unit_type", "search_text", "source_evidence_ids"]
-    pool = pool.join(index.documents.select(*columns), "unit_seq").join(queries.select("query_id", compatible_fold("query").alias("folded")), "query_id")
+    pool = cut(pool.join(index.documents.select(*columns), "unit_seq").join(queries.select("query_id", compatible_fold("query").alias("folded")), "query_id"))
     values = pool.select("query_id", "unit_seq", "folded", F.posexplode(field_values(F.col("search_text"))).alias("at", "value"))
     values = values.withColumn("v", compatible_fold("value"))
     bare = without_space(F.col("v"))
