@@ -20,6 +20,7 @@ from .joins import hot_join
 from .sequence import previous, running_last
 
 TARGET_CHARS = 1_200
+# The names that enter the units' ids, and the words of their texts.
 BUILDER, BUILDER_VERSION = "search-unit-builder", "0.2.0"
 SECTION, SLIDE = "セクション: ", "コンテナ種別: スライド\n"
 

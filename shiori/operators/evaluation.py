@@ -9,6 +9,8 @@ from ..functions.ids import stable_id
 from ..functions.text import LINE_BREAK, collapse_space, compatible_fold, strip, tokens_a
 
 CUTOFFS = (1, 3, 5, 10)
+# Fixed value: the name that enters the cases' ids.
+GENERATOR = "self-retrieval-eval-builder"
 # The categories of reviewed cases, of which the first four are unit types.
 NATIVE = ["paragraph_chunk", "table_row", "slide_text", "page_text"]
 CATEGORIES = [*NATIVE, "cross_document", "other"]
@@ -36,7 +38,7 @@ def self_retrieval(units: DataFrame, max_cases: int = 100, query_chars: int = 80
     asked = units.withColumn("query", query_of_unit(F.col("unit_type"), F.col("search_text"), query_chars)).where(F.col("query") != "")
     chosen = round_robin(asked, "unit_type", "unit_seq", max_cases)
     searchable = chosen.withColumn("f", compatible_fold("query")).where(F.size(tokens_a(F.col("f"))) > 0)
-    case = stable_id("qe", generator=F.lit("self-retrieval-eval-builder"), generator_version=F.lit(version), method=F.lit("self_retrieval"), query=F.col("query"), relevant_search_unit_ids=F.array("search_unit_id"))
+    case = stable_id("qe", generator=F.lit(GENERATOR), generator_version=F.lit(version), method=F.lit("self_retrieval"), query=F.col("query"), relevant_search_unit_ids=F.array("search_unit_id"))
     return searchable.select(case.alias("eval_case_id"), "query", F.col("search_unit_id").alias("relevant_id"), F.col("unit_type").alias("category"), "unit_seq")
 
 
