@@ -6,9 +6,9 @@ of codes within TABLES - 1 differing bits shares a key; pairs farther apart shar
 that falls with the angle, measured in the README. Codes of one bucket are compared in full; pairs within
 the Hamming radius of the wanted cosine go on to the vectors themselves.
 
-Equal vectors form one class that takes part once, so copies never meet each other pairwise. A bucket of
-any size is streamed in code order: up to BUCKET rows all pairs are compared, beyond that each block of
-BUCKET rows with itself and its predecessor, in another code order in each table.
+Equal vectors form one class that takes part once, so copies never meet each other pairwise. In a bucket
+of up to BUCKET rows all pairs are compared; the classes of larger buckets, which a dense topic fills, are
+only marked, and all marked classes are compared with each other exactly, in blocks spread over the tasks.
 """
 
 from __future__ import annotations
@@ -85,21 +85,21 @@ def _entries(rotations: np.ndarray, width: int, tables: int, dimensions: int):
     return run
 
 
-def _close(ids_a: np.ndarray, code_a: np.ndarray, ids_b: np.ndarray, code_b: np.ndarray, radius: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two blocks within the radius."""
+def _close(ids: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block within the radius."""
     out_a, out_b = [], []
-    for at in range(0, len(ids_a), 256):
-        near = np.bitwise_count(code_a[at : at + 256, None] ^ code_b[None, :]) <= radius
-        if own:
-            near &= np.arange(at, at + len(near))[:, None] < np.arange(len(ids_b))[None, :]
+    for at in range(0, len(ids), 256):
+        near = np.bitwise_count(code[at : at + 256, None] ^ code[None, :]) <= radius
+        near &= np.arange(at, at + len(near))[:, None] < np.arange(len(ids))[None, :]
         x, y = np.nonzero(near)
-        out_a.append(ids_a[at + x])
-        out_b.append(ids_b[y])
+        out_a.append(ids[at + x])
+        out_b.append(ids[y])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _bucket_pairs(radius: int, bucket: int):
-    """Entries sorted by (key, code): pairs of one bucket within the radius."""
+    """Entries sorted by key: pairs of one bucket within the radius; (a, a) for each entry a of a bucket of
+    more than bucket rows, whose pairs are left to the exact way."""
 
     def pairs(key: np.ndarray, ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -107,16 +107,10 @@ def _bucket_pairs(radius: int, bucket: int):
         out_a, out_b = [], []
         for start in starts[size > 64]:
             stop = start + size[np.searchsorted(starts, start)]
-            before = None
-            for at in range(start, stop, bucket):
-                block = ids[at : min(stop, at + bucket)], code[at : min(stop, at + bucket)]
-                found = [_close(*block, *block, radius, True)]
-                if before is not None:
-                    found.append(_close(*before, *block, radius, False))
-                for x, y in found:
-                    out_a.append(x)
-                    out_b.append(y)
-                before = block
+            own = ids[start:stop], code[start:stop]
+            x, y = (own[0], own[0]) if stop - start > bucket else _close(*own, radius)
+            out_a.append(x)
+            out_b.append(y)
         small = np.repeat(size <= 64, size)
         at = np.flatnonzero(small)
         for step in range(1, 64):
@@ -133,20 +127,21 @@ def _bucket_pairs(radius: int, bucket: int):
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, held, rows = None, [], 0
+        rest, held, rows, large = None, [], 0, None
 
         def flush(parts: list, last: bool):
-            nonlocal rest
+            nonlocal rest, large
             key, ids, code = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            # A bucket that goes on in the next batch waits, but no more than two blocks of it.
-            stop = len(key) if last else np.searchsorted(key, key[-1])
-            if not last and len(key) - stop > 2 * bucket:
-                rest = [(key[-bucket:], ids[-bucket:], code[-bucket:])]
-                stop = len(key)
-            else:
-                rest = [(key[stop:], ids[stop:], code[stop:])] if stop < len(key) else None
+            # What goes on of a bucket that was found too large is marked too.
+            at = 0 if large is None else np.searchsorted(key, large, "right")
+            more, key, ids, code = ids[:at], key[at:], ids[at:], code[at:]
+            # A bucket that goes on in the next batch waits, unless it is too large already.
+            stop = len(key) if last or not len(key) else np.searchsorted(key, key[-1])
+            if len(key) - stop > bucket:
+                large, stop = key[-1], len(key)
+            rest = [(key[stop:], ids[stop:], code[stop:])] if stop < len(key) else None
             a, b = pairs(key[:stop], ids[:stop], code[:stop]) if stop else (ids[:0], ids[:0])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([more, a])), pa.array(np.concatenate([more, b]))], names=["a", "b"])
 
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)))
@@ -202,16 +197,25 @@ class VectorIndex:
         matrix = _matrix(sample) if len(sample) else np.zeros((0, dimensions))
         self.rotations = learn_rotations(matrix, max(ceil(tables / (dimensions // self.width)), ceil(CODE_BITS / dimensions)))
         entries = self.vectors.mapInArrow(_entries(self.rotations, self.width, tables, dimensions), "key long, class_id long, code long")
-        near = entries.repartition("key").sortWithinPartitions("key", "code").mapInArrow(_bucket_pairs(hamming_radius(min_cosine), BUCKET), "a long, b long")
-        self.candidates = cut(near.where(F.col("a") != F.col("b")).distinct())
+        near = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(hamming_radius(min_cosine), BUCKET), "a long, b long")
+        found = cut(near.distinct())
+        self.candidates = found.where(F.col("a") != F.col("b"))
+        self.dense = found.where(F.col("a") == F.col("b")).select(F.col("a").alias("class_id"))
 
     def edges(self) -> DataFrame:
-        """(a, b, cosine) of the candidate pairs of classes, in both directions."""
+        """(a, b, cosine) of the candidate pairs of classes, in both directions, and of the k best dense
+        classes of each dense one."""
         left = self.candidates.join(self.vectors.select(F.col("class_id").alias("a"), F.col("vector").alias("va")), "a")
         both = left.join(self.vectors.select(F.col("class_id").alias("b"), F.col("vector").alias("vb")), "b")
         scored = cut(both.select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, cosine double"))
         ways = F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-        return scored.select(F.explode(ways).alias("e")).select("e.*")
+        edges = scored.select(F.explode(ways).alias("e")).select("e.*")
+        if self.dense.isEmpty():
+            return edges
+        dense = cut(self.vectors.join(self.dense, "class_id", "left_semi"))
+        # A pair may come both ways; grouped where the ranking needs it.
+        both = edges.unionByName(self._best(dense, dense, dense.count(), 16_384, 16_384)).repartition("a")
+        return both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
     def nearest(self, edges: DataFrame, units: DataFrame | None = None) -> DataFrame:
         """(unit, neighbour, cosine, rank) of the k best by the edges, for the given units or all."""
@@ -232,10 +236,14 @@ class VectorIndex:
         """(a, b, cosine) of the k + 1 best classes of each class of the given units, by comparing blocks of
         the units' vectors with blocks of all vectors: the exact way for queries the index can't settle."""
         asked = self.owners.join(units.select("unit").distinct(), "unit", "left_semi").select("class_id").distinct()
-        queries = cut(self.vectors.join(asked, "class_id", "left_semi"))
-        blocks, groups = max(1, ceil(self.size / rows)), max(1, ceil(queries.count() / 4_096))
+        return self._best(cut(self.vectors.join(asked, "class_id", "left_semi")), self.vectors, self.size, rows, 4_096)
+
+    def _best(self, queries: DataFrame, pool: DataFrame, size: int, rows: int, asked: int) -> DataFrame:
+        """(a, b, cosine) of the k best others in the pool of size vectors for each of the queries, by
+        comparing all blocks of asked queries with all blocks of rows of the pool."""
+        blocks, groups = max(1, ceil(size / rows)), max(1, ceil(queries.count() / asked))
         left = queries.select("class_id", "vector", F.pmod("class_id", F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        right = self.vectors.select("class_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int").alias("block"))
+        right = pool.select("class_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int").alias("block"))
         found = left.groupBy("g", "block").cogroup(right.groupBy("g", "block")).applyInArrow(_block_best(self.k + 1), "a long, b long, cosine double")
         return found.where(F.col("a") != F.col("b"))
 

@@ -92,3 +92,29 @@ def test_bucket_streaming_across_batches():
         got |= set(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
     want = {(i, j) for k in range(40) for i in np.flatnonzero(key == k).tolist() for j in np.flatnonzero(key == k).tolist() if i < j and bin(int(code[i]) ^ int(code[j])).count("1") <= 1}
     assert got == want
+
+
+def test_true_neighbours_within_a_hot_topic(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=96)
+    hot = [(f"h{k:03d}", base + 0.1 * rng.normal(size=96)) for k in range(300)]
+    vectors = hot + groups(100, 4, 0.2, seed=6)
+    index = VectorIndex(table(spark, vectors))
+    assert index.dense.count() >= 300
+    got, want = lists(index.nearest(index.edges())), brute(vectors)
+    # All that the hash has to decide is settled exactly within the topic.
+    assert all([v for v, _ in got[u]] == [v for v, _ in want[u]] for u, _ in hot)
+
+
+def test_large_buckets_are_marked_across_batches():
+    import pyarrow as pa
+
+    key = np.repeat([1, 2, 3], [50, 180_000, 70])
+    ids = np.arange(len(key))
+    code = np.zeros(len(key), np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + 9_000]) for x in (key, ids, code)], names=["key", "class_id", "code"]) for a in range(0, len(key), 9_000)]
+    out = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in neighbours._bucket_pairs(1, 100)(iter(batches))]
+    a, b = (np.concatenate([x[k] for x in out]) for k in range(2))
+    assert np.array_equal(np.sort(a[a == b]), ids[key == 2])
+    assert (a != b).sum() == 50 * 49 // 2 + 70 * 69 // 2 and np.array_equal(key[a], key[b])
