@@ -30,13 +30,14 @@ def round_robin(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     return df.withColumn("turn", turn).where(F.col("turn") <= limit).orderBy("turn", group).limit(limit)
 
 
-def self_retrieval(units: DataFrame, max_cases: int = 100, query_chars: int = 80, version: str = "0.1.0") -> DataFrame:
+def self_retrieval(units: DataFrame, max_cases: int | None = 100, query_chars: int = 80, version: str = "0.1.0") -> DataFrame:
     """Cases (eval_case_id, query, relevant_id, category, unit_seq) made from the units themselves.
 
-    Units without a searchable query are passed over.
+    Units without a searchable query are passed over. max_cases: of so many units, taken from the types in
+    turn; None: of all.
     """
     asked = units.withColumn("query", query_of_unit(F.col("unit_type"), F.col("search_text"), query_chars)).where(F.col("query") != "")
-    chosen = round_robin(asked, "unit_type", "unit_seq", max_cases)
+    chosen = asked if max_cases is None else round_robin(asked, "unit_type", "unit_seq", max_cases)
     searchable = chosen.withColumn("f", compatible_fold("query")).where(F.size(tokens_a(F.col("f"))) > 0)
     case = stable_id("qe", generator=F.lit(GENERATOR), generator_version=F.lit(version), method=F.lit("self_retrieval"), query=F.col("query"), relevant_search_unit_ids=F.array("search_unit_id"))
     return searchable.select(case.alias("eval_case_id"), "query", F.col("search_unit_id").alias("relevant_id"), F.col("unit_type").alias("category"), "unit_seq")

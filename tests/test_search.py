@@ -150,3 +150,14 @@ def test_glossary(spark):
     got = {r["query_id"]: r for r in glossary.expand(asked, made).collect()}
     assert got[1]["expanded"].endswith("- HK = 北斗更新 / 港見\n- 北斗 = 北斗更新") and got[1]["names"] == ["北斗更新", "港見"]
     assert got[2]["expanded"] == "HKX" and got[3]["names"] == []
+
+
+def test_searches_ask_every_twentieth_unit(spark, monkeypatch):
+    from shiori.plans import catalogue
+
+    rows = [(k, f"u{k}", "d", "page_text", f"word{k} common", [f"e{k}"]) for k in range(1, 2_401)]
+    monkeypatch.setattr(catalogue.records, "units", lambda spark, folder: spark.createDataFrame(rows, UNITS))
+    cases = catalogue._cases(spark, "").select("unit_seq").collect()
+    assert {r["unit_seq"] for r in cases} == set(range(20, 2_401, 20)) and len(cases) == 120
+    assert catalogue.bm25_search(spark, "").select("query_id").distinct().count() == 120
+    assert catalogue.self_eval_cases(spark, "").count() == 100
