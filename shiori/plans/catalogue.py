@@ -1,7 +1,8 @@
 """The library's operators as queries over a folder of tables: (spark, folder) -> DataFrame.
 
 Questions for the search queries are the self-retrieval cases of all units whose unit_seq is divisible by
-20, as are those units the vector queries; self_eval_cases is the sample of 100 cases.
+20, as are those units the vector queries; self_eval_cases is the sample of 100 cases. The older search
+path asks every document whose doc_id is divisible by 20.
 """
 
 from __future__ import annotations
@@ -162,11 +163,11 @@ def sliding_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions over the documents: sampled in turn from the sources, with the project's name before the text."""
-    documents = table(spark, folder, "documents").where(F.col("text").isNotNull() & F.col("source").isNotNull())
-    chosen = cut(evaluation.round_robin(documents.select("doc_id", "source", "project", "text"), "source", "doc_id", 60))
-    query = F.concat(F.coalesce("project", F.lit("")), F.lit(" "), F.substring(T.collapse_space(F.col("text")), 1, 80))
-    return chosen.select(F.col("doc_id").alias("query_id"), query.alias("query"), F.array().cast("array<string>").alias("names"))
+    """Questions over the documents: each document with a text whose doc_id is divisible by 20, with the project's
+    name before the whole text."""
+    documents = table(spark, folder, "documents").where(F.col("text").isNotNull() & (F.col("doc_id") % 20 == 0))
+    query = F.concat(F.coalesce("project", F.lit("")), F.lit(" "), T.collapse_space(F.col("text")))
+    return documents.select(F.col("doc_id").alias("query_id"), query.alias("query"), F.array().cast("array<string>").alias("names"))
 
 
 def legacy_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -161,3 +161,14 @@ def test_searches_ask_every_twentieth_unit(spark, monkeypatch):
     assert {r["unit_seq"] for r in cases} == set(range(20, 2_401, 20)) and len(cases) == 120
     assert catalogue.bm25_search(spark, "").select("query_id").distinct().count() == 120
     assert catalogue.self_eval_cases(spark, "").count() == 100
+
+
+def test_every_twentieth_document_is_a_question(spark, tmp_path):
+    from shiori.plans import catalogue
+
+    rows = [(k, None if k % 40 == 0 else f"s{k % 3}", "北斗更新", f"a.md{k}", f"doc{k}  common " + "filler " * 20 + f"tail{k}") for k in range(1, 1_601)]
+    spark.createDataFrame(rows, "doc_id long, source string, project string, file_name string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = {r["query_id"]: r["query"] for r in catalogue._questions(spark, str(tmp_path)).collect()}
+    assert set(asked) == set(range(20, 1_601, 20))
+    assert all(q == f"北斗更新 doc{k} common " + "filler " * 20 + f"tail{k}" for k, q in asked.items())
+    assert catalogue.legacy_search(spark, str(tmp_path)).select("query_id").distinct().count() == 80
