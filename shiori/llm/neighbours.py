@@ -1,9 +1,10 @@
 """The most similar vectors of every vector (problem 5): multi-index hashing.
 
 Rotations learned on a bounded sample (iterative quantisation) turn each vector into binary codes. The
-code is split into TABLES substrings, each the key of one table. By the pigeonhole principle every pair
-of codes within TABLES - 1 differing bits shares a key; pairs farther apart share one with a probability
-that falls with the angle, measured in the README. Codes of one bucket are compared in full; pairs within
+code is split into substrings, each the key of one table. By the pigeonhole principle every pair of codes
+that differ in fewer bits than there are tables shares a key; pairs farther apart share one with a
+probability that falls with the angle. The tables are as many as pairs of the wanted cosine need to share a
+key with a probability of RECALL, whatever the size of the input. Codes of one bucket are compared in full; pairs within
 the Hamming radius of the wanted cosine go on to the vectors themselves.
 
 Equal vectors form one class that takes part once, so copies never meet each other pairwise. In a bucket
@@ -14,7 +15,7 @@ only marked, and all marked classes are compared with each other exactly, in blo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log2, pi, sqrt
+from math import acos, ceil, log, log1p, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from ..sources.tables import table
 
 DIMENSIONS = 96
 K = 5
-TABLES = 36
 MIN_COSINE = 0.8
+#: Share of the pairs of MIN_COSINE that are to share a key; the Hamming radius takes one in about 40 of them.
+RECALL = 0.975
 #: Vectors the rotations are learned on, at most.
 SAMPLE = 10_000
 BUCKET = 2_048
@@ -170,6 +172,14 @@ def hamming_radius(min_cosine: float) -> int:
     return ceil(CODE_BITS * p + 2.0 * sqrt(CODE_BITS * p * (1 - p)))
 
 
+def key_plan(size: int, min_cosine: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a key and number of tables for so many vectors. Keys grow with half the logarithm of the size,
+    tables with the keys, so that independent bits give the recall at min_cosine at any size."""
+    width = min(24, max(8, round(log2(max(2, size)) / 2) + 5))
+    same = (1 - acos(max(-1.0, min(1.0, min_cosine))) / pi) ** width
+    return width, 1 if same >= recall else ceil(log(1 - recall) / log1p(-same))
+
+
 class VectorIndex:
     """Multi-index hash over all usable vectors of a table unit, vector (other columns are ignored).
 
@@ -179,7 +189,7 @@ class VectorIndex:
     64-bit fingerprint; where two different ones share it, the query fails with a message.
     """
 
-    def __init__(self, vectors: DataFrame, min_cosine: float = MIN_COSINE, k: int = K, tables: int = TABLES, dimensions: int = DIMENSIONS, hot_rows: int = HOT_ROWS):
+    def __init__(self, vectors: DataFrame, min_cosine: float = MIN_COSINE, k: int = K, tables: int | None = None, dimensions: int = DIMENSIONS, hot_rows: int = HOT_ROWS):
         self.k, self.min_cosine, self.dimensions, self.hot_rows = k, min_cosine, dimensions, hot_rows
         rows = usable(vectors.select("unit", "vector"), dimensions)
         self.owners = cut(rows.groupBy("unit").agg(F.min("class_id").alias("class_id")))
@@ -191,7 +201,8 @@ class VectorIndex:
         grouped = rows.groupBy("class_id").agg(F.first("vector").alias("vector"), F.min(check).alias("low"), F.max(check).alias("high"))
         clash = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two vectors share a fingerprint"))).otherwise(F.col("vector"))
         self.vectors = grouped.select("class_id", clash.alias("vector"))
-        self.width = min(24, max(8, round(log2(max(2, self.size))) - 2))
+        self.width, planned = key_plan(self.size, min_cosine)
+        tables = tables or planned
         part = F.pmod("class_id", F.lit(max(1, -(-self.size // SAMPLE))))
         sample = rows.where(part == 0).select("vector").limit(SAMPLE).toArrow().column(0).combine_chunks()
         matrix = _matrix(sample) if len(sample) else np.zeros((0, dimensions))

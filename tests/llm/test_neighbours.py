@@ -118,3 +118,22 @@ def test_large_buckets_are_marked_across_batches():
     a, b = (np.concatenate([x[k] for x in out]) for k in range(2))
     assert np.array_equal(np.sort(a[a == b]), ids[key == 2])
     assert (a != b).sum() == 50 * 49 // 2 + 70 * 69 // 2 and np.array_equal(key[a], key[b])
+
+
+def test_pairs_of_the_least_cosine_share_a_key_at_any_size():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 1_000, 96))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.8 * a + 0.6 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for size in (10_000, 1_000_000, 50_000_000):
+        width, tables = neighbours.key_plan(size, 0.8)
+        rotations = learn_rotations(np.zeros((0, 96)), -(-tables // (96 // width)))
+        sides = []
+        for side in (a, b):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(1_000), pa.int64()), pa.array(list(side), pa.list_(pa.float64()))], names=["class_id", "vector"])
+            (out,) = neighbours._entries(rotations, width, tables, 96)(iter([batch]))
+            sides.append(out.column(0).to_numpy().reshape(tables, 1_000))
+        assert (sides[0] == sides[1]).any(axis=0).mean() >= 0.95, size
