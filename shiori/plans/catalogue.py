@@ -188,7 +188,7 @@ def _glossary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def glossary_expand(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("query_id"), F.concat(F.coalesce("project", F.lit("")), F.lit(": "), F.substring("text", 1, 60)).alias("query"))
+    lines = table(spark, folder, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("query_id"), F.concat(F.coalesce("project", F.lit("")), F.lit(": "), "text").alias("query"))
     return glossary.expand(lines, _glossary(spark, folder)).select("query_id", "expanded", F.array_join("names", ",").alias("names"))
 
 

@@ -172,3 +172,13 @@ def test_every_twentieth_document_is_a_question(spark, tmp_path):
     assert set(asked) == set(range(20, 1_601, 20))
     assert all(q == f"北斗更新 doc{k} common " + "filler " * 20 + f"tail{k}" for k, q in asked.items())
     assert catalogue.legacy_search(spark, str(tmp_path)).select("query_id").distinct().count() == 80
+
+
+def test_aliases_anywhere_in_the_text_are_expanded(spark, tmp_path):
+    from shiori.plans import catalogue
+
+    rows = [(1, "港見湾岸", "前" * 100 + " 北斗 の件"), (2, "北斗更新", "短い文")]
+    spark.createDataFrame(rows, "doc_id long, project string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["query_id"]: r for r in catalogue.glossary_expand(spark, str(tmp_path)).collect()}
+    assert set(got[1]["names"].split(",")) == {"港見湾岸", "北斗更新"} and got[2]["names"] == "北斗更新"
+    assert got[1]["expanded"].startswith("港見湾岸: " + "前" * 100 + " 北斗 の件")
