@@ -58,14 +58,13 @@ def test_copies_and_unusable_vectors(spark):
     assert [v for v, _ in got["near"]] == ["c00", "c01", "c02", "c03", "c04"]
 
 
-def test_buckets_of_any_size(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BUCKET", 16)
+def test_buckets_of_any_size(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=96)
     vectors = [(f"v{k:03d}", base + 0.02 * rng.normal(size=96)) for k in range(300)]
-    index = VectorIndex(table(spark, vectors))
-    got = lists(index.nearest(index.edges()))
-    assert all(len(l) == 5 and l[4][1] > 0.99 for l in got.values()) and len(got) == 300
+    index = VectorIndex(table(spark, vectors), block_rows=16)
+    got, want = lists(index.nearest(index.edges())), brute(vectors)
+    assert all([v for v, _ in got[u]] == [v for v, _ in want[u]] for u, _ in vectors)
 
 
 def test_small_tables(spark):
@@ -77,63 +76,78 @@ def test_small_tables(spark):
 def test_rotations_and_radius():
     r = learn_rotations(np.random.default_rng(0).normal(size=(50, 8)), 2, 3)
     assert r.shape == (8, 16) and np.allclose(r[:, :8] @ r[:, :8].T, np.eye(8), atol=1e-5)
-    assert hamming_radius(1.0) == 0 and hamming_radius(0.8) == 20 and hamming_radius(-1.0) == 64
-
-
-def test_bucket_streaming_across_batches():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(1)
-    key = np.sort(rng.integers(0, 40, 3000))
-    code, ids = rng.integers(0, 8, 3000).astype(np.int64), np.arange(3000)
-    batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + 700]) for x in (key, ids, code)], names=["key", "class_id", "code"]) for a in range(0, 3000, 700)]
-    got = set()
-    for b in neighbours._bucket_pairs(1, 2048)(iter(batches)):
-        got |= set(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-    want = {(i, j) for k in range(40) for i in np.flatnonzero(key == k).tolist() for j in np.flatnonzero(key == k).tolist() if i < j and bin(int(code[i]) ^ int(code[j])).count("1") <= 1}
-    assert got == want
+    assert hamming_radius(1.0) == 0 and hamming_radius(0.8) == 69 and hamming_radius(-1.0) == 256
 
 
-def test_true_neighbours_within_a_hot_topic(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BUCKET", 16)
+def random_codes(n, flips, seed=0):
+    """Codes around a few centres, with their class ids before them."""
+    rng = np.random.default_rng(seed)
+    bits = rng.random((8, 256))[rng.integers(0, 8, n)] < 0.5
+    bits ^= rng.random((n, 256)) < flips
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return np.c_[rng.permutation(n).astype(np.uint64) * np.uint64(1 << 20), words], bits
+
+
+def sharing(bits, tables):
+    parts = bits[:, : tables * neighbours.KEY_BITS].reshape(len(bits), tables, -1)
+    return (parts[:, None] == parts[None]).all(axis=3).sum(axis=2)
+
+
+@pytest.mark.parametrize("depth, block", [(1, 10_000), (1, 7), (2, 10_000), (2, 40), (3, 10_000)])
+def test_every_pair_that_shares_enough_substrings_is_met_once(depth, block):
+    codes, bits = random_codes(400, 0.06)
+    tables, radius = 12, 60
+    sizes = {}
+    for t in range(tables):
+        for key, n in zip(*np.unique(neighbours._substring(codes[:, 1:], t), return_counts=True)):
+            sizes[(t << neighbours.KEY_BITS) + int(key)] = int(n)
+    plan = neighbours.Plan(sizes, tables, depth, radius, block)
+    row, task, side = plan.places(codes)
+    met = set()
+    for one in np.unique(task):
+        at = task == one
+        out = neighbours.named(codes[row[at]], side[at], plan.table_of(one), plan)
+        met |= set(row[at][out].tolist())
+    distance = (bits[:, None] != bits[None]).sum(axis=2)
+    pairs = (sharing(bits, tables) >= depth) & (distance <= radius) & ~np.eye(len(bits), dtype=bool)
+    assert met == set(np.flatnonzero(pairs.any(axis=1)).tolist()) and len(met) > 100
+
+
+def test_codes_within_the_pigeonhole_radius_always_meet():
+    codes, bits = random_codes(600, 0.05, seed=4)
+    tables = 17
+    near = (bits[:, None, : tables * 7] != bits[None, :, : tables * 7]).sum(axis=2) < tables
+    assert near.sum() > 5_000 and (sharing(bits, tables)[near] >= 1).all()
+
+
+def test_a_bucket_of_many_rows_finds_all_pairs():
+    codes, _ = random_codes(10_000, 0.0)
+    codes[:, 1:] = codes[0, 1:]
+    plan = neighbours.Plan({}, 1, 1, 0, 1 << 20)
+    assert neighbours.named(codes, np.zeros(len(codes), int), 0, plan).all()
+    assert sum(len(x) for x, _ in neighbours._close(codes[:, 1:], None, 0)) == 10_000 * 9_999 // 2
+
+
+def test_true_neighbours_within_a_hot_topic(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=96)
     hot = [(f"h{k:03d}", base + 0.1 * rng.normal(size=96)) for k in range(300)]
     vectors = hot + groups(100, 4, 0.2, seed=6)
-    index = VectorIndex(table(spark, vectors))
-    assert index.dense.count() >= 300
+    index = VectorIndex(table(spark, vectors), block_rows=50)
     got, want = lists(index.nearest(index.edges())), brute(vectors)
-    # All that the hash has to decide is settled exactly within the topic.
     assert all([v for v, _ in got[u]] == [v for v, _ in want[u]] for u, _ in hot)
 
 
-def test_large_buckets_are_marked_across_batches():
-    import pyarrow as pa
-
-    key = np.repeat([1, 2, 3], [50, 180_000, 70])
-    ids = np.arange(len(key))
-    code = np.zeros(len(key), np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + 9_000]) for x in (key, ids, code)], names=["key", "class_id", "code"]) for a in range(0, len(key), 9_000)]
-    out = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in neighbours._bucket_pairs(1, 100)(iter(batches))]
-    a, b = (np.concatenate([x[k] for x in out]) for k in range(2))
-    assert np.array_equal(np.sort(a[a == b]), ids[key == 2])
-    assert (a != b).sum() == 50 * 49 // 2 + 70 * 69 // 2 and np.array_equal(key[a], key[b])
-
-
-def test_pairs_of_the_least_cosine_share_a_key_at_any_size():
-    import pyarrow as pa
-
+def test_pairs_of_the_least_cosine_share_a_bucket_at_any_size():
     rng = np.random.default_rng(8)
-    a, b = rng.normal(size=(2, 1_000, 96))
+    a, b = rng.normal(size=(2, 2_000, 96))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = 0.8 * a + 0.6 * b / np.linalg.norm(b, axis=1, keepdims=True)
-    for size in (10_000, 1_000_000, 50_000_000):
-        width, tables = neighbours.key_plan(size, 0.8)
-        rotations = learn_rotations(np.zeros((0, 96)), -(-tables // (96 // width)))
-        sides = []
-        for side in (a, b):
-            batch = pa.RecordBatch.from_arrays([pa.array(range(1_000), pa.int64()), pa.array(list(side), pa.list_(pa.float64()))], names=["class_id", "vector"])
-            (out,) = neighbours._entries(rotations, width, tables, 96)(iter([batch]))
-            sides.append(out.column(0).to_numpy().reshape(tables, 1_000))
-        assert (sides[0] == sides[1]).any(axis=0).mean() >= 0.95, size
+    rotations = learn_rotations(np.zeros((0, 96)), 3)[:, :256]
+    words = [np.packbits(x @ rotations > 0, axis=1, bitorder="little").view(np.uint64) for x in (a, b)]
+    close = np.bitwise_count(words[0] ^ words[1]).sum(axis=1) <= hamming_radius(0.8)
+    for size in (10_000, 1_000_000, 50_000_000, 5_000_000_000):
+        tables, depth = neighbours.key_plan(size, 0.8)
+        shared = sum(neighbours._substring(words[0], t) == neighbours._substring(words[1], t) for t in range(tables))
+        assert tables <= 36 and ((shared >= depth) & close).mean() >= 0.95, size
