@@ -18,6 +18,12 @@ SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+@F.pandas_udf(StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """NFKC; null stays null."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 @F.pandas_udf(StringType())
 def compatible_fold(texts: pd.Series) -> pd.Series:
     """NFKC, then full case folding; null stays null. ASCII texts need only be lowered."""
@@ -132,7 +138,12 @@ def split_alternatives(cell: Column) -> Column:
     return F.filter(F.transform(F.split(cell, "[,、/／・]"), strip), lambda x: x != "")
 
 
+# Tags, and what says no more than not to know.
+TAG = r"</?[A-Za-z][^>]{0,200}>"
+UNKNOWN = r"^(?:わかりません|わからない|不明)[。．.]*$"
+
+
 def plain_answer(text: Column, abstain: str = "わかりません") -> Column:
     """An answer without tags; the abstention for empty answers and those that say no more than not to know."""
-    bare = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"</?[A-Za-z][^>]{0,200}>", ""))
-    return F.when((bare == "") | bare.rlike(r"^(?:わかりません|わからない|不明)[。．.]*$"), F.lit(abstain)).otherwise(bare)
+    bare = strip(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, ""))
+    return F.when((bare == "") | bare.rlike(UNKNOWN), F.lit(abstain)).otherwise(bare)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compatible_lower, strip
+from ..functions.text import compatible, strip
 from .containment import contains
 
 # The categories of a diagnosis, and the abstention.
@@ -32,7 +32,7 @@ def diagnose(questions: DataFrame, predictions: DataFrame, chunks: DataFrame, hi
     top = where.join(hits.select("query_id", "cid").distinct(), ["query_id", "cid"]).select("query_id").distinct().withColumn("in_top", F.lit(True))
     rows = questions.select("query_id", "expected").join(predictions.select("query_id", "predicted"), "query_id", "left").join(corpus, "query_id", "left").join(top, "query_id", "left")
     rows = rows.withColumn("predicted", F.coalesce("predicted", F.lit(ABSTAIN)))
-    automatic = classify(compatible_lower("expected"), compatible_lower("predicted"), F.col("in_corpus"), F.col("in_top"))
+    automatic = classify(compatible("expected"), compatible("predicted"), F.col("in_corpus"), F.col("in_top"))
     rows = rows.withColumn("automatic", automatic)
     if reviews is not None:
         rows = rows.join(reviews.select("query_id", F.nullif(strip(F.col("final")), F.lit("")).alias("reviewed")), "query_id", "left")

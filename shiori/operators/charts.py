@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What marks transformations and plots in notebook code.
-TRANSFORMS = ["agg(", "groupby(", "merge(", "pivot(", "pivot_table(", "reset_index(", "resample(", "rolling(", "sort_values(", "value_counts("]
-PLOTS = [".bar(", ".barh(", ".boxplot(", ".hist(", ".pie(", ".plot(", ".scatter("]
+# What marks transformations and plots in notebook code, and the literals of images and data files.
+TRANSFORMS = ["groupby", ".agg(", ".mean(", ".median(", ".sum(", ".size(", "pivot", "resample", "value_counts", "rolling"]
+PLOTS = [".plot(", "sns.", "plt.bar(", "plt.scatter(", "plt.imshow("]
+SAVED = r"savefig\s*\(\s*([^\n,]+)"
+IMAGE = r"(?i)[\"']([^\"']+\.(?:png|jpe?g|webp|svg))[\"']"
+DATA = r"(?i)[\"']([^\"']+\.(?:csv|tsv|xlsx?|json|parquet))[\"']"
 
 
 def numeric(x: Column) -> Column:
@@ -19,12 +22,12 @@ def numeric(x: Column) -> Column:
 
 
 def group_table(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, x, n_rows, mean): rows and mean of y per number x; rows whose x is no number are dropped.
+    """(keys, x, n_rows, mean), sorted by keys and x: rows and mean of y per number x; rows whose x is no number are dropped.
 
     n_rows counts rows with a null y as well; the mean leaves them out and is null without any value.
     """
     rows = df.withColumn("x", numeric(F.col(x).cast("string"))).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    return rows.groupBy(*(keys or []), "x").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(y).cast("double")).alias("mean"))
+    return rows.groupBy(*(keys or []), "x").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(y).cast("double")).alias("mean")).orderBy(*(keys or []), "x")
 
 
 def is_day_number(x: str) -> Column:
@@ -121,21 +124,21 @@ def mined(cells: DataFrame) -> DataFrame:
     df.groupby(x).agg(label=(y, 'size')); transforms and plots: the calls that occur.
     """
     src = F.col("source")
-    tokens = lambda names: F.filter(F.array(*[F.when(F.contains(src, F.lit(n)), F.lit(n.strip(".("))) for n in names]), lambda x: x.isNotNull())
-    saves = F.regexp_extract_all(src, F.lit(r"savefig\s*\(([^\n]*)"), F.lit(1))
-    images = F.flatten(F.transform(saves, lambda s: F.slice(F.regexp_extract_all(s, F.lit(r"['\"]([^'\"]+\.(?:png|jpe?g|svg))['\"]"), F.lit(1)), 1, 1)))
+    tokens = lambda names: F.filter(F.array(*[F.when(F.contains(src, F.lit(n)), F.lit(n.rstrip("(").lstrip("."))) for n in names]), lambda x: x.isNotNull())
+    saves = F.regexp_extract_all(src, F.lit(SAVED), F.lit(1))
+    images = F.flatten(F.transform(saves, lambda s: F.slice(F.regexp_extract_all(s, F.lit(IMAGE), F.lit(1)), 1, 1)))
     group = rf"groupby\(\s*({_TEXT}|{_NAME})[^)]*\)\s*\.agg\(\s*({_NAME})\s*=\s*\(\s*({_TEXT}|{_NAME})\s*,\s*['\"]size['\"]"
     part = lambda k: F.nullif(F.regexp_extract(src, group, k), F.lit(""))
     return cells.select(
         "path",
         "location",
         images.alias("images"),
-        F.array_sort(F.array_distinct(F.regexp_extract_all(src, F.lit(r"['\"]([^'\"]+\.(?:csv|tsv|xlsx|parquet|json))['\"]"), F.lit(1)))).alias("data"),
+        F.array_sort(F.array_distinct(F.regexp_extract_all(src, F.lit(DATA), F.lit(1)))).alias("data"),
         part(1).alias("group_x"),
         part(3).alias("group_y"),
         part(2).alias("group_label"),
-        tokens(TRANSFORMS).alias("transforms"),
-        tokens(PLOTS).alias("plots"),
+        F.array_sort(tokens(TRANSFORMS)).alias("transforms"),
+        F.array_sort(tokens(PLOTS)).alias("plots"),
         F.contains(src, F.lit("groupby")).alias("has_groupby"),
     )
 

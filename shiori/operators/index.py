@@ -53,27 +53,54 @@ def inverse_document_frequency(n: float, df):
 
 @dataclass
 class LexicalIndex:
-    """postings: term, unit_seq, term_frequency; terms: term, document_frequency; documents: the units with
-    document_length. Units without tokens are listed in empty and belong to no statistic."""
+    """forward: unit_seq, terms, tfs, one row per unit that has any token; terms: term, document_frequency;
+    documents: the units as given. Units without tokens belong to no statistic."""
 
-    postings: DataFrame
+    forward: DataFrame
     terms: DataFrame
     documents: DataFrame
-    empty: DataFrame
     n_documents: int
     average_length: float
+    kind: str = "a"
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, unit_seq, term_frequency)"""
+        both = self.forward.select("unit_seq", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        return both.select(F.col("p.terms").alias("term"), "unit_seq", F.col("p.tfs").alias("term_frequency"))
+
+
+def term_lists(units: DataFrame, kind: str = "a", text: str = "search_text", key: str = "unit_seq") -> DataFrame:
+    """(key, terms, tfs) of units that have any token: the distinct tokens and how often each occurs."""
+    tokens = script_run_tokens if kind == "a" else word_pair_tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                counted = [Counter(tokens(value)) if value else {} for value in part.column(1).to_pylist()]
+                some = pa.array([k for k, c in enumerate(counted) if c], pa.int64())
+                terms = pa.array([list(c) for c in counted if c], pa.list_(pa.string()))
+                tfs = pa.array([list(c.values()) for c in counted if c], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(some), terms, tfs], names=[key, "terms", "tfs"])
+
+    return units.select(key, text).mapInArrow(run, f"{key} {dict(units.dtypes)[key]}, terms array<string>, tfs array<long>")
 
 
 def build(units: DataFrame, kind: str = "a") -> LexicalIndex:
     """Index of units (unit_seq unique, search_text; other columns are kept in documents).
 
-    One pass makes the postings, which are written where they arise; everything else derives from them.
-    Terms are counted with a partial count on the map side, so common terms don't gather anywhere. A
-    lasting index is sorted by term when it is written (sources.sinks.write_index).
+    One pass cuts the terms, a row per unit, which is written where it arises; everything else derives from
+    it. Terms are counted with a partial count on the map side, so common terms don't gather anywhere. A
+    lasting index is written by sources.indexes.write_lexical.
     """
-    postings = cut(term_frequencies(units, kind))
-    lengths = postings.groupBy("unit_seq").agg(F.sum("term_frequency").alias("document_length"))
-    documents = cut(units.join(lengths, "unit_seq", "left"))
-    terms = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency")))
-    size = documents.where(F.col("document_length").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("document_length").alias("a")).first()
-    return LexicalIndex(postings, terms, documents.where(F.col("document_length").isNotNull()), documents.where(F.col("document_length").isNull()), size["n"], size["a"] or 0.0)
+    documents = cut(units)
+    return of_parts(cut(term_lists(documents, kind)), documents, kind)
+
+
+def of_parts(forward: DataFrame, documents: DataFrame, kind: str, terms: DataFrame | None = None) -> LexicalIndex:
+    if terms is None:
+        terms = cut(forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency")))
+    length = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    size = forward.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("a")).first()
+    return LexicalIndex(forward, terms, documents, size["n"], size["a"] or 0.0, kind)

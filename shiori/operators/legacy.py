@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compatible_lower, strip, tokens_b
+from ..functions.text import compatible, compatible_lower, strip, tokens_b
 from ..session import cut
-from .containment import contains
-from .index import build, inverse_document_frequency
+from .containment import contains, find_all
+from .index import LexicalIndex, build, inverse_document_frequency
+from .scoring import top_scores
 
 K1, B, TOP_K = 1.5, 0.75, 12
 # Company forms left out of project names, and the marks of texts that stand for unread assets.
 COMPANY = "(株式会社|医療法人社団|有限会社)"
+# Fixed value: what may name a file in a query.
+FILE_WORD = r"[0-9A-Za-z_][0-9A-Za-z_.\-]{2,}"
 STUB, STUB_STARTS = "※OCR/VLM未実施", ("[テキスト層なし", "[画像ファイル")
 
 
@@ -32,46 +40,85 @@ def index_text(chunks: DataFrame):
 
 
 def project_tokens(projects: DataFrame) -> DataFrame:
-    """(project, token): a project's name and the words of its core, of at least 3 characters."""
-    core = F.split(strip(F.regexp_replace("project", COMPANY, " ")), r"\s+")
-    tokens = F.filter(F.array_distinct(F.concat(F.array("project"), core)), lambda t: F.length(t) >= 3)
-    return projects.select("project", F.explode(tokens).alias("token"))
+    """(project, token, words): what names a project in a question, and what is then left out of the terms:
+    its name, and the words of its name without the company's form, of at least 3 characters each."""
+    named = projects.select("project", compatible("project").alias("name"))
+
+    def parts(between: str):
+        core = F.split(strip(F.regexp_replace("name", COMPANY, between)), r"\s+")
+        return F.filter(F.array_distinct(F.concat(F.array("name"), core)), lambda t: F.length(t) >= 3)
 
+    return named.select("project", F.explode(parts("")).alias("token"), parts(" ").alias("words"))
 
-def search(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> DataFrame:
+
+def chunk_index(chunks: DataFrame) -> LexicalIndex:
+    """Index of chunks (cid unique, path, project, filename, location, text), with what the boosts read."""
+    units = chunks.withColumn("unit_seq", F.col("cid")).withColumn("search_text", index_text(chunks))
+    index = build(units, "b")
+    about = index.documents.select("unit_seq", "project", F.coalesce(compatible_lower("filename"), F.lit("")).alias("file"), F.coalesce(is_stub(F.col("text")), F.lit(False)).alias("stub"))
+    return replace(index, forward=cut(index.forward.join(about, "unit_seq")))
+
+
+def _boosts(queries: pa.Table, units: pa.Table):
+    """Factors by file name, stub and project of a block's pairs."""
+    files = units.column("file").combine_chunks().dictionary_encode()
+    file_of, names = files.indices.to_numpy(), files.dictionary.to_pylist()
+    asked = [tuple(t) for t in queries.column("names_in").to_pylist()]
+    tokens = tuple(sorted({t for ts in asked for t in ts}))
+    in_files: dict[str, list[int]] = {}
+    for f, name in enumerate(names if tokens else ()):
+        for k in find_all(name, tokens, False):
+            in_files.setdefault(tokens[k], []).append(f)
+    projects = units.column("project").combine_chunks().dictionary_encode()
+    project_of, project_no = projects.indices.fill_null(-1).to_numpy(zero_copy_only=False), {p: k for k, p in enumerate(projects.dictionary.to_pylist())}
+    held = pc.fill_null(pc.greater(pc.utf8_length(units.column("project")), 0), False).to_numpy(zero_copy_only=False)
+    plain = np.where(units.column("stub").to_numpy(zero_copy_only=False), 0.3, 1.0)
+    targets = queries.column("targets").to_pylist()
+
+    def factors(low: int, high: int) -> np.ndarray:
+        out = np.empty((high - low, units.num_rows))
+        for row, q in zip(out, range(low, high)):
+            named = np.zeros(len(names), bool)
+            for t in asked[q]:
+                named[in_files.get(t, [])] = True
+            row[:] = np.where(named[file_of], 2.5, plain)
+            if targets[q] is not None:
+                aimed = np.isin(project_of, [project_no[p] for p in targets[q] if p in project_no])
+                row *= np.where(aimed, 3.0, np.where(held, 0.25, 1.2))
+        return out
+
+    return factors
+
+
+def search(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, index: LexicalIndex | None = None) -> DataFrame:
     """(query_id, rank, cid, score, base_score): the top_k chunks of each query (query_id, query, names).
 
     chunks: cid (unique), path, project, filename, location, text; names: canonical names to search as
     well. Ties go to the larger cid. Names of projects that the query aims at are used for the boost and
-    left out of the terms.
+    left out of the terms. The index of the chunks is built unless it is given.
     """
-    units = chunks.withColumn("unit_seq", F.col("cid")).withColumn("search_text", index_text(chunks))
-    index = build(units, "b")
-    projects = cut(project_tokens(chunks.where(F.length("project") > 0).select("project").distinct()))
-    hay = queries.select("query_id", F.concat_ws(" ", "query", F.array_join("names", " ")).alias("hay"))
-    hits = contains(hay, "query_id", "hay", projects, "token").select("query_id", "project", "token")
-    targets = cut(hits.groupBy("query_id").agg(F.collect_set("project").alias("targets"), F.collect_set("token").alias("tokens")))
+    index = index or chunk_index(chunks)
+    projects = cut(project_tokens(index.documents.where(F.length("project") > 0).select("project").distinct()))
+    joined = F.concat_ws(" ", "query", F.array_join("names", " "))
+    hay = queries.withColumn("hay", joined).select("query_id", compatible("hay").alias("hay"))
+    hits = contains(hay, "query_id", "hay", projects, "token")
+    targets = cut(hits.groupBy("query_id").agg(F.collect_set("project").alias("targets"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("tokens")))
     asked = queries.join(targets, "query_id", "left")
     none = F.array().cast("array<string>")
     tokens = F.array_sort(F.coalesce("tokens", none), lambda a, b: F.length(b) - F.length(a))
     kept_names = F.array_except(F.coalesce("names", none), F.coalesce("targets", none))
-    words = F.concat(F.col("query"), F.lit("\n"), F.array_join(kept_names, "\n"))
-    asked = asked.withColumn("expanded", F.aggregate(tokens, words, lambda text, t: F.replace(text, t, F.lit(" "))))
-    terms = asked.withColumn("low", compatible_lower("expanded")).select("query_id", F.explode(tokens_b(F.col("low"))).alias("term"))
+    words = asked.withColumn("words", F.concat(F.col("query"), F.lit("\n"), F.array_join(kept_names, "\n"))).withColumn("words", compatible("words"))
+    asked = words.withColumn("expanded", F.aggregate(tokens, F.col("words"), lambda text, t: F.replace(text, t, F.lit(" "))))
+    names = F.filter(F.regexp_extract_all("low", F.lit(FILE_WORD), F.lit(0)), lambda t: F.length(t) >= 4)
+    asked = cut(asked.withColumn("low", compatible_lower("query")).select("query_id", "targets", F.array_distinct(names).alias("names_in"), compatible_lower("expanded").alias("expanded")))
+    terms = asked.select("query_id", F.explode(tokens_b(F.col("expanded"))).alias("term"))
     terms = terms.groupBy("query_id", "term").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("times"))
-    known = terms.join(index.terms, "term").withColumn("idf", inverse_document_frequency(index.n_documents, F.col("document_frequency")))
-    tf, length = F.col("term_frequency"), F.col("document_length")
-    weight = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / (index.average_length or 1.0))) * F.col("times")
-    scored = index.postings.join(known, "term").join(index.documents.select("unit_seq", "document_length"), "unit_seq").groupBy("query_id", "unit_seq").agg(F.sum(weight).alias("base_score"))
-    about = index.documents.select("unit_seq", "project", compatible_lower("filename").alias("file"), is_stub(F.col("text")).alias("stub"))
-    rows = scored.join(about, "unit_seq").join(asked.select("query_id", "targets", compatible_lower("query").alias("low")), "query_id")
-    names = F.filter(F.regexp_extract_all("low", F.lit(r"[0-9A-Za-z_][0-9A-Za-z_.\-]{2,}"), F.lit(0)), lambda t: F.length(t) >= 4)
-    named = F.exists(names, lambda t: F.contains(F.coalesce("file", F.lit("")), t))
-    by_file = F.when(named, 2.5).when(F.coalesce("stub", F.lit(False)), 0.3).otherwise(1.0)
-    by_project = F.when(F.col("targets").isNull(), 1.0).when(F.array_contains("targets", F.col("project")), 3.0).when(F.length("project") > 0, 0.25).otherwise(1.2)
-    final = rows.withColumn("score", F.col("base_score") * by_file * by_project)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 8).desc(), F.col("unit_seq").desc())
-    return final.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", F.col("unit_seq").alias("cid"), "score", "base_score")
+    factor = inverse_document_frequency(index.n_documents, F.col("document_frequency")) * F.col("times")
+    lists = terms.join(index.terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", factor.alias("f"))).alias("l"))
+    lists = lists.select("query_id", F.transform("l", lambda x: x["term"]).alias("terms"), F.transform("l", lambda x: x["f"]).alias("factors"))
+    ready = cut(lists.join(asked.drop("expanded"), "query_id"))
+    best = top_scores(index.forward, ready, top_k, K1, B, index.average_length, larger_first=True, boost=_boosts)
+    return best.select("query_id", "rank", F.col("unit_seq").alias("cid"), "score", "base_score")
 
 
 def chunk_header(path, location):

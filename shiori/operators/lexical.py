@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clip, compatible_fold, field_values, tokens_a, without_space
 from ..session import cut
 from .index import LexicalIndex, inverse_document_frequency
+from .scoring import top_scores
 
 K1, B = 1.2, 0.75
 MAX_TERMS = 500
@@ -26,20 +27,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def with_idf(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """Query terms that the index knows, with their inverse document frequency."""
-    known = index.terms.join(terms.select("term").distinct(), "term", "left_semi")
-    return terms.join(known, "term").withColumn("idf", inverse_document_frequency(index.n_documents, F.col("document_frequency")))
+    return terms.join(index.terms, "term").withColumn("idf", inverse_document_frequency(index.n_documents, F.col("document_frequency")))
 
 
-def score(index: LexicalIndex, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, unit_seq, lexical_score, matched_terms, n_terms) of every unit that shares a term with a query.
+def query_lists(idf: DataFrame) -> DataFrame:
+    """(query_id, terms, factors, n_terms): each query's terms that the index knows, with their weights."""
+    lists = idf.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("l"), F.first("n_terms").alias("n_terms"))
+    return lists.select("query_id", F.transform("l", lambda x: x["term"]).alias("terms"), F.transform("l", lambda x: x["idf"]).alias("factors"), "n_terms")
 
-    The postings are reduced to the queries' terms first; the lengths join only what is left.
-    """
-    hits = index.postings.join(with_idf(index, terms), "term").join(index.documents.select("unit_seq", "document_length"), "unit_seq")
-    ratio = F.col("document_length") / index.average_length if index.average_length else F.lit(0.0)
-    tf = F.col("term_frequency")
-    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))
-    return hits.groupBy("query_id", "unit_seq").agg(F.sum(weight).alias("lexical_score"), F.count(F.lit(1)).alias("matched_terms"), F.first("n_terms").alias("n_terms"))
+
+def _pool(index: LexicalIndex, idf: DataFrame, k: int, unit_types: list[str] | None, k1: float, b: float) -> DataFrame:
+    """(query_id, unit_seq, rank, lexical_score, matched_terms, n_terms) of the k best units of each query.
+    A filter on unit types leaves the corpus statistics those of all units."""
+    units = index.forward
+    if unit_types:
+        units = units.join(index.documents.where(F.col("unit_type").isin(unit_types)).select("unit_seq"), "unit_seq", "left_semi")
+    lists = cut(query_lists(idf))
+    best = top_scores(units, lists.drop("n_terms"), k, k1, b, index.average_length)
+    return best.join(lists.select("query_id", "n_terms"), "query_id").withColumnRenamed("score", "lexical_score").drop("base_score")
 
 
 def ranked(scored: DataFrame, by: str, ties: str, k: int, key: str = "query_id") -> DataFrame:
@@ -49,12 +54,8 @@ def ranked(scored: DataFrame, by: str, ties: str, k: int, key: str = "query_id")
 
 
 def search_bm25(index: LexicalIndex, queries: DataFrame, top_k: int = 10, unit_types: list[str] | None = None) -> DataFrame:
-    """The top_k units of each query by BM25 alone. A filter on unit types acts after scoring, so the corpus
-    statistics stay those of all units."""
-    scored = score(index, cut(query_terms(queries)))
-    if unit_types:
-        scored = scored.join(index.documents.where(F.col("unit_type").isin(unit_types)).select("unit_seq"), "unit_seq", "left_semi")
-    return ranked(scored, "lexical_score", "unit_seq", top_k)
+    """The top_k units of each query by BM25 alone."""
+    return _pool(index, cut(with_idf(index, query_terms(queries))), top_k, unit_types, K1, B)
 
 
 def search(
@@ -76,11 +77,8 @@ def search(
     """
     if top_k < 1 or snippet_chars < 1 or field_value_weight < 0 or parent_context_penalty < 0:
         raise ValueError("top_k and snippet_chars must be at least 1, weights at least 0")
-    terms = cut(query_terms(queries))
-    scored = score(index, terms, k1, b)
-    if unit_types:
-        scored = scored.join(index.documents.where(F.col("unit_type").isin(unit_types)).select("unit_seq"), "unit_seq", "left_semi")
-    pool = ranked(scored, "lexical_score", "unit_seq", max(50, 5 * top_k)).drop("rank")
+    idf = cut(with_idf(index, query_terms(queries)))
+    pool = _pool(index, idf, max(50, 5 * top_k), unit_types, k1, b).drop("rank")
     columns = ["unit_seq", "search_unit_id", "document_id", "unit_type", "search_text", "source_evidence_ids"]
     pool = cut(pool.join(index.documents.select(*columns), "unit_seq").join(queries.select("query_id", compatible_fold("query").alias("folded")), "query_id"))
     values = pool.select("query_id", "unit_seq", "folded", F.posexplode(field_values(F.col("search_text"))).alias("at", "value"))
@@ -89,7 +87,7 @@ def search(
     named = values.where(F.length(bare).between(2, 64) & (F.instr(without_space(F.col("folded")), bare) > 0))
     matches = named.groupBy("query_id", "unit_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("matches"))
     value_terms = named.select("query_id", "unit_seq", F.explode(tokens_a(F.col("v"))).alias("term")).distinct()
-    bonus = value_terms.join(with_idf(index, terms).select("query_id", "term", "idf"), ["query_id", "term"]).groupBy("query_id", "unit_seq").agg((field_value_weight * F.sum("idf")).alias("bonus"))
+    bonus = value_terms.join(idf.select("query_id", "term", "idf"), ["query_id", "term"]).groupBy("query_id", "unit_seq").agg((field_value_weight * F.sum("idf")).alias("bonus"))
     pool = pool.join(matches, ["query_id", "unit_seq"], "left").join(bonus, ["query_id", "unit_seq"], "left").fillna(0.0, ["bonus"])
     sources = F.array_distinct("source_evidence_ids")
     above = pool.select("query_id", "document_id", F.col("unit_seq").alias("upper"), sources.alias("few"))

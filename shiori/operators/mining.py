@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Patterns of dates and of passwords in file names.
+DATE = r"(20\d{2})[-/年.]?(\d{1,2})[-/月.]?(\d{1,2})"
+NAMED_PASSWORD = r"(?i)(?:pw|pass|password)[-_]?([0-9A-Za-z]{6,})"
+DATED_PASSWORD = r"([A-Za-z]{2,}\d{8})"
+
+
 def dates_in(text: Column) -> Column:
-    """The distinct dates of a text as yyyymmdd, in order: 20yy, month and day set apart by - / . or 年月."""
-    found = F.regexp_extract_all(text, F.lit(r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}"), F.lit(0))
+    """The distinct dates of a text as yyyymmdd, in order: 20yy, month and day, with or without a mark between them."""
+    found = F.regexp_extract_all(text, F.lit(DATE), F.lit(0))
 
     def normal(d: Column) -> Column:
-        parts = F.split(d, r"[-/.年月]")
-        return F.concat(F.get(parts, F.lit(0)), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(2)), 2, "0"))
+        part = lambda k: F.lpad(F.regexp_extract(d, DATE, k), 2, "0")
+        return F.concat(F.regexp_extract(d, DATE, 1), part(2), part(3))
 
     return F.array_distinct(F.transform(found, normal))
 
@@ -26,8 +32,8 @@ def password_candidates(files: DataFrame) -> DataFrame:
     """
     name = F.element_at(F.split("path", "/"), -1)
     stem, extension = F.regexp_replace(name, r"\.[^.]*$", ""), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    named = F.regexp_extract_all(stem, F.lit(r"(?i)(?:pw|pass|password)[-_]?([0-9A-Za-z]{6,})"), F.lit(1))
-    dated = F.regexp_extract_all(stem, F.lit(r"([A-Za-z]{2,}\d{8})"), F.lit(1))
+    named = F.regexp_extract_all(stem, F.lit(NAMED_PASSWORD), F.lit(1))
+    dated = F.regexp_extract_all(stem, F.lit(DATED_PASSWORD), F.lit(1))
     rule = lambda a, d: F.concat(F.lit("DA-"), a, F.lit("-"), d, F.lit("-"), extension)
     pairs = F.flatten(F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.transform(F.coalesce("dates", F.array().cast("array<string>")), lambda d: F.array(rule(a, d), rule(F.upper(a), d))))))
     return files.select("path", F.posexplode(F.array_distinct(F.concat(named, dated, pairs))).alias("ord", "candidate"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import content_hash
+
+# Types of units and statuses of an extraction.
 UNIT_TYPES = ["paragraph_chunk", "table_row", "slide_text", "page_text"]
 STATUSES = ["pending", "success", "partial", "deferred", "failed"]
 
@@ -41,15 +44,18 @@ def documents(df: DataFrame) -> DataFrame:
     )
 
 
-def evidence(df: DataFrame) -> DataFrame:
-    """Checks within the evidence: ids, content hashes, ambiguous ids, parents of other documents."""
+def evidence(df: DataFrame, payload_hash: bool = True) -> DataFrame:
+    """Checks within the evidence: ids, content hashes, ambiguous ids, parents of other documents.
+
+    A content's hash is that of its payload; with payload_hash unset, of its text alone, as some builders write it."""
     text, sha = F.col("content.raw_text"), F.col("content.sha256")
+    digest = content_hash(text) if payload_hash else F.sha2(text, 256)
     own = df.where(F.col("parent_evidence_id").isNotNull()).select("evidence_id", "document_id", "parent_evidence_id").distinct()
     parents = df.select(F.col("evidence_id").alias("parent_evidence_id"), F.col("document_id").alias("parent_document")).distinct()
     return union(
         {
             "evidence id malformed": df.where(~F.coalesce(F.col("evidence_id").rlike("^ev_[0-9a-f]{16,64}$"), F.lit(False))),
-            "text hash wrong": df.where(text.isNotNull() & sha.isNotNull() & (F.sha2(text, 256) != sha)),
+            "text hash wrong": df.where(text.isNotNull() & sha.isNotNull() & (digest != sha)),
             "evidence id ambiguous": repeated(df.withColumn("text", text), "evidence_id", ["document_id", "parent_evidence_id", "text"]),
             "parent in another document": own.join(parents, "parent_evidence_id").where(F.col("document_id") != F.col("parent_document")),
         },

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.ids import content_hash, stable_id
 from ..operators import answers, charts, derive, documents, evaluation, fusion, glossary, index, legacy, lexical, mining, quality, semantic
-from ..session import cut
-from ..sources import records
+from ..session import cut, fingerprint, lasting_path, remembered
+from ..sources import indexes, records
 from ..sources.tables import table
 from ..streaming import incremental
 
@@ -50,8 +50,30 @@ def unit_counts(spark: SparkSession, folder: str) -> DataFrame:
     return sets.select(F.when(F.col("g") == 0, "unit_type").otherwise("document_id").alias("kind"), F.coalesce("unit_type", "document_id", F.lit("")).alias("value"), "n_units")
 
 
+def _stored(spark: SparkSession, folder: str, name: str, make):
+    """A table's lexical index: written with a manifest at its first use in a session, read back and checked
+    at each use."""
+    source = fingerprint(spark, f"{folder}/{name}.parquet")
+
+    def write() -> str:
+        path = lasting_path(spark, "index")
+        indexes.write_lexical(make(), path, source)
+        return path
+
+    kind = "a" if name == "search_units" else "b"
+    return indexes.read_lexical(spark, remembered(spark, f"{name} {source}", write), kind, source)
+
+
+def _unit_index(spark: SparkSession, folder: str) -> index.LexicalIndex:
+    return _stored(spark, folder, "search_units", lambda: index.build(records.units(spark, folder)))
+
+
+def _chunk_index(spark: SparkSession, folder: str) -> index.LexicalIndex:
+    return _stored(spark, folder, "documents", lambda: legacy.chunk_index(_chunks(spark, folder)))
+
+
 def _cases(spark: SparkSession, folder: str) -> DataFrame:
-    units = records.units(spark, folder).where(F.col("unit_seq") % 20 == 0)
+    units = _unit_index(spark, folder).documents.where(F.col("unit_seq") % 20 == 0)
     return cut(evaluation.self_retrieval(units, max_cases=None))
 
 
@@ -64,8 +86,7 @@ def self_eval_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, folder: str, unit_types: list[str] | None = None) -> DataFrame:
-    idx = index.build(records.units(spark, folder))
-    hits = lexical.search_bm25(idx, _queries(_cases(spark, folder)), unit_types=unit_types)
+    hits = lexical.search_bm25(_unit_index(spark, folder), _queries(_cases(spark, folder)), unit_types=unit_types)
     return hits.select("query_id", "rank", "unit_seq", F.round("lexical_score", 6).alias("score"), "matched_terms")
 
 
@@ -78,7 +99,7 @@ def bm25_type_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, folder: str, cases: DataFrame, top_k: int = 10) -> DataFrame:
-    return lexical.search(index.build(records.units(spark, folder)), _queries(cases), top_k)
+    return lexical.search(_unit_index(spark, folder), _queries(cases), top_k)
 
 
 def bm25_rerank(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,14 +192,15 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def legacy_search(spark: SparkSession, folder: str) -> DataFrame:
-    hits = legacy.search(cut(_chunks(spark, folder)), cut(_questions(spark, folder)))
+    chunks = _chunk_index(spark, folder)
+    hits = legacy.search(chunks.documents, cut(_questions(spark, folder)), index=chunks)
     return hits.select("query_id", "rank", "cid", F.round("score", 6).alias("score"), F.round("base_score", 6).alias("base_score"))
 
 
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = cut(_chunks(spark, folder))
-    hits = legacy.search(chunks, cut(_questions(spark, folder)))
-    return legacy.context(hits.select("query_id", "rank", "cid"), chunks, 6_000).select("query_id", "rank", "cid", "used", F.md5("block").alias("block_md5"))
+    chunks = _chunk_index(spark, folder)
+    hits = legacy.search(chunks.documents, cut(_questions(spark, folder)), index=chunks)
+    return legacy.context(hits.select("query_id", "rank", "cid"), chunks.documents, 6_000).select("query_id", "rank", "cid", "used", F.md5("block").alias("block_md5"))
 
 
 def _glossary(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,15 +323,15 @@ def colour_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def _answered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Answers made from the documents: the expected one is a line's start, the predicted one another's."""
-    chunks = cut(_chunks(spark, folder))
+    chunks = _chunk_index(spark, folder)
     questions = cut(_questions(spark, folder))
     texts = table(spark, folder, "documents", "doc_id", "text")
     known = questions.join(texts.withColumnRenamed("doc_id", "query_id"), "query_id")
     expected = F.when(F.col("query_id") % 3 == 0, F.concat(F.substring("text", 1, 12), F.lit("※"))).otherwise(F.substring("text", 1, 12))
     asked = known.select("query_id", expected.alias("expected"))
     predicted = known.where(F.col("query_id") % 4 != 1).select("query_id", F.when(F.col("query_id") % 2 == 0, F.substring("text", 1, 12)).otherwise("わかりません").alias("predicted"))
-    hits = legacy.search(chunks, questions).select("query_id", "cid")
-    return asked, predicted, chunks, hits
+    hits = legacy.search(chunks.documents, questions, index=chunks).select("query_id", "cid")
+    return asked, predicted, chunks.documents, hits
 
 
 def diagnose_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -341,7 +363,7 @@ def violations_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def violations_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.evidence(table(spark, folder, "evidence", "evidence_id", "document_id", "parent_evidence_id", "content"))
+    return quality.evidence(table(spark, folder, "evidence", "evidence_id", "document_id", "parent_evidence_id", "content"), payload_hash=False)
 
 
 def violations_relations(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,9 +27,13 @@ def _compatible() -> tuple[str, str]:
     return "".join(a for a, _ in pairs).replace("'", "''"), "".join(b for _, b in pairs).replace("'", "''")
 
 
-def lowered(x: str) -> str:
+def composed(x: str) -> str:
     a, b = _compatible()
-    return f"lower(nfc_normalize(translate({x}, '{a}', '{b}')))"
+    return f"nfc_normalize(translate({x}, '{a}', '{b}'))"
+
+
+def lowered(x: str) -> str:
+    return f"lower({composed(x)})"
 
 
 def folded(x: str) -> str:
@@ -77,13 +81,14 @@ known AS MATERIALIZED (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf F
 
 _LINE = strip("l")
 _VALUE = f"CASE WHEN contains(l, ':') THEN {strip('substring(l, instr(l, chr(58)) + 1)')} ELSE l END"
-_CASES = f"""asked AS (
+_EVERY_20TH = "SELECT * FROM asked WHERE query <> '' AND unit_seq % 20 = 0"
+_SAMPLE = "SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY unit_type ORDER BY unit_seq) AS turn FROM asked WHERE query <> '') ORDER BY turn, unit_type LIMIT 100"
+_ASKED = f"""asked AS (
   SELECT *, {strip(f"substring(CASE WHEN unit_type = 'table_row' THEN array_to_string(list_slice(vals, 1, 4), ' ') ELSE {collapse('search_text')} END, 1, 80)")} AS query
   FROM (SELECT *, list_filter(raw, lambda v, i: v <> '' AND list_position(raw, v) = i) AS vals FROM (
     SELECT *, list_transform(list_filter(list_transform(string_split_regex(search_text, '{_BREAK}'), lambda l: {_LINE}), lambda l: l <> ''), lambda l: {_VALUE}) AS raw FROM units))
 ),
-turns AS (SELECT *, row_number() OVER (PARTITION BY unit_type ORDER BY unit_seq) AS turn FROM asked WHERE query <> ''),
-chosen AS (SELECT * FROM turns ORDER BY turn, unit_type LIMIT 100),
+chosen AS (CHOSEN),
 cases AS MATERIALIZED (
   SELECT 'qe_' || substring(sha256('{{"generator":"self-retrieval-eval-builder","generator_version":"0.1.0","method":"self_retrieval","query":' || CAST(to_json(query) AS VARCHAR) || ',"relevant_search_unit_ids":["' || search_unit_id || '"]}}'), 1, 32) AS query_id,
     query, {folded("query")} AS f, search_unit_id AS relevant_id, unit_type AS category, unit_seq FROM chosen
@@ -94,6 +99,8 @@ scored AS MATERIALIZED (
   FROM postings_a JOIN terms_of USING (term) JOIN known USING (term) JOIN lengths USING (unit_seq), size GROUP BY query_id, unit_seq
 )"""
 
+_CASES = _ASKED.replace("CHOSEN", _EVERY_20TH)
+
 
 def _rerank(k: int) -> str:
     """Hits with rank up to k, out of a pool of max(50, 5 * k)."""
@@ -176,9 +183,7 @@ lens AS MATERIALIZED (SELECT cid, CAST(sum(tf) AS BIGINT) AS dl FROM post GROUP
 legacy_size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 legacy_idf AS MATERIALIZED (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY term), legacy_size),
 questions AS MATERIALIZED (
-  SELECT doc_id AS query_id, coalesce(project, '') || ' ' || substring({collapse("text")}, 1, 80) AS query, text FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
-  ORDER BY turn, source LIMIT 60
+  SELECT doc_id AS query_id, coalesce(project, '') || ' ' || {collapse("text")} AS query, text FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0
 ),
 projects AS (SELECT DISTINCT project FROM chunks WHERE length(project) >= 3),
 targets AS MATERIALIZED (SELECT query_id, list(project) AS targets FROM questions, projects WHERE contains(query, project) GROUP BY query_id),
@@ -205,7 +210,7 @@ gold AS MATERIALIZED (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN substring
 places AS MATERIALIZED (SELECT query_id, cid FROM gold, chunks WHERE length(expected) > 0 AND contains(chunks.text, expected)),
 judged AS (
   SELECT query_id, predicted, query_id IN (SELECT query_id FROM places) AS in_corpus, query_id IN (SELECT query_id FROM places JOIN legacy_hits USING (query_id, cid)) AS in_top,
-    {strip(lowered("predicted"))} = {strip(lowered("expected"))} AS same FROM gold
+    {strip(composed("predicted"))} = {strip(composed("expected"))} AS same FROM gold
 ),
 diagnosed AS (SELECT *, CASE WHEN same THEN '成功' WHEN in_top THEN '回答生成不足' WHEN in_corpus THEN '検索不足' ELSE '要目視' END AS automatic FROM judged)"""
 
@@ -306,7 +311,7 @@ SQL = {
     "corpus_stats": f"WITH {_INDEX} SELECT count(*) AS n_units, CAST(sum(dl) AS BIGINT) AS total_length, round(avg(dl), 6) AS average_length FROM lengths",
     "unit_counts": f"""WITH {_UNITS} SELECT 'unit_type' AS kind, unit_type AS value, count(*) AS n_units FROM units GROUP BY unit_type
 UNION ALL SELECT 'document_id', coalesce(document_id, ''), count(*) FROM units GROUP BY document_id""",
-    "self_eval_cases": f"WITH {_INDEX}, {_CASES} SELECT query_id AS eval_case_id, query, relevant_id, category FROM cases",
+    "self_eval_cases": f"WITH {_INDEX}, {_ASKED.replace('CHOSEN', _SAMPLE)} SELECT query_id AS eval_case_id, query, relevant_id, category FROM cases",
     "bm25_search": f"""WITH {_INDEX}, {_CASES} SELECT query_id, CAST(r AS INTEGER) AS rank, unit_seq, round(lexical, 6) AS score, matched AS matched_terms
 FROM (SELECT *, {_TOP10} FROM scored) WHERE r <= 10""",
     "bm25_type_filter": f"""WITH {_INDEX}, {_CASES} SELECT query_id, CAST(r AS INTEGER) AS rank, unit_seq, round(lexical, 6) AS score, matched AS matched_terms
@@ -329,7 +334,7 @@ UNION ALL SELECT category, count(*), round(avg(coalesce(1.0 / first_rank, 0)), 6
 spent AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM blocks)
 SELECT query_id, rank, cid, used, md5(block) AS block_md5 FROM spent WHERE used <= 6000""",
     "glossary_expand": """WITH names AS (SELECT DISTINCT substring(project, 1, 2) AS alias, project AS canonical FROM documents WHERE length(project) > 2),
-lines AS (SELECT doc_id, coalesce(project, '') || ': ' || substring(text, 1, 60) AS query FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, coalesce(project, '') || ': ' || text AS query FROM documents WHERE text IS NOT NULL),
 found AS (SELECT doc_id, alias, list(canonical ORDER BY canonical) AS canons FROM lines, names WHERE contains(query, alias) GROUP BY doc_id, alias),
 listed AS (SELECT doc_id, string_agg('- ' || alias || ' = ' || array_to_string(canons, ' / '), chr(10) ORDER BY length(alias) DESC, alias) AS explained, flatten(list(canons ORDER BY length(alias) DESC, alias)) AS canons FROM found GROUP BY doc_id)
 SELECT doc_id AS query_id, CASE WHEN explained IS NULL THEN query ELSE query || chr(10) || chr(10) || '[社内用語の展開]' || chr(10) || explained END AS expanded,
@@ -422,10 +427,11 @@ SELECT extension, status, count(*) AS n_documents, CAST(sum(coalesce(len(warning
     "incremental_pending": """WITH docs AS MATERIALIZED (SELECT source.relative_path AS path, source.sha256 AS sha256, source.size_bytes AS n, extraction.status AS status FROM source_documents),
 done AS (SELECT path, CASE WHEN n % 2 = 0 THEN sha256 ELSE 'changed' END AS sha256 FROM docs WHERE status IN ('success', 'partial', 'deferred'))
 SELECT DISTINCT path, sha256 FROM docs WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.path = docs.path AND done.sha256 = docs.sha256)""",
-    "mined_dates": r"""WITH found AS (SELECT doc_id, list_transform(regexp_extract_all(text, '20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}'), lambda d: array_to_string(list_transform(string_split_regex(d, '[-/.年月]'), lambda x: CASE WHEN length(x) < 2 THEN '0' || x ELSE x END), '')) AS d FROM documents)
+    "mined_dates": r"""WITH parts AS (SELECT doc_id, regexp_extract_all(text, '(20\d{2})[-/.年]?(\d{1,2})[-/.月]?(\d{1,2})', 1) AS y, regexp_extract_all(text, '(20\d{2})[-/.年]?(\d{1,2})[-/.月]?(\d{1,2})', 2) AS m, regexp_extract_all(text, '(20\d{2})[-/.年]?(\d{1,2})[-/.月]?(\d{1,2})', 3) AS t FROM documents),
+found AS (SELECT doc_id, list_transform(y, lambda v, i: v || lpad(m[i], 2, '0') || lpad(t[i], 2, '0')) AS d FROM parts)
 SELECT doc_id, array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), ',') AS dates FROM found WHERE len(d) > 0""",
     "password_candidates": r"""WITH docs AS MATERIALIZED (SELECT DISTINCT source.relative_path AS path, source.modified_at AS stamp FROM source_documents),
-parts AS (SELECT path, string_split(path, '/')[-1] AS name, coalesce(list_distinct(list_transform(regexp_extract_all(stamp, '20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}'), lambda d: replace(replace(replace(d, '-', ''), '/', ''), '.', ''))), []) AS dates FROM docs),
+parts AS (SELECT path, string_split(path, '/')[-1] AS name, coalesce(list_distinct(list_transform(regexp_extract_all(stamp, '20\d{2}-?\d{2}-?\d{2}'), lambda d: replace(d, '-', ''))), []) AS dates FROM docs),
 stems AS (SELECT path, regexp_replace(name, '\.[^.]*$', '') AS stem, lower(regexp_extract(name, '\.([^.]*)$', 1)) AS ext, dates FROM parts),
 listed AS (SELECT path, list_concat(regexp_extract_all(stem, '(?i)(?:pw|pass|password)[-_]?([0-9A-Za-z]{6,})', 1), list_concat(regexp_extract_all(stem, '([A-Za-z]{2,}\d{8})', 1),
   flatten(list_transform(['hk', 'ay'], lambda a: flatten(list_transform(dates, lambda d: ['DA-' || a || '-' || d || '-' || ext, 'DA-' || upper(a) || '-' || d || '-' || ext])))))) AS c FROM stems),

@@ -81,6 +81,35 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+_memory: dict[tuple[str, str], object] = {}
+
+
+def remembered(spark: SparkSession, key: str, make):
+    """What make() gave for this key in this session, made at its first use. Its tables stay until the driver ends."""
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _memory:
+        _memory[at] = make()
+    return _memory[at]
+
+
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/shiori-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files below a path: what tells whether a stored index is of this table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return uuid.uuid5(uuid.NAMESPACE_URL, "|".join(sorted(found))).hex
+
+
 def release(df: DataFrame) -> None:
     """Remove the table behind a result of cut() that nothing reads any more."""
     path = getattr(df, "_shiori_path", None)

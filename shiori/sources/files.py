@@ -147,12 +147,13 @@ def images(files: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str, start: int = 0, limit: int | None = None) -> DataFrame:
-    """(index, question, answer) of a question file with header, in its order, from start on, at most limit."""
+    """(index, question, answer) of a question file with header, in the order of the file, from start on, at most limit."""
     rows = spark.read.option("header", "true").option("multiLine", "true").option("encoding", "UTF-8").csv(path)
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     if "answer" not in rows.columns:
         rows = rows.withColumn("answer", F.lit(None).cast("string"))
-    rows = rows.select(F.col("index").cast("long").alias("index"), "question", "answer").orderBy("index").offset(start)
+    # A file with breaks within its lines is read in one piece, whose rows are numbered as they come.
+    rows = rows.select(F.col("index").cast("long").alias("index"), "question", "answer", F.monotonically_increasing_id().alias("at")).orderBy("at").offset(start).drop("at")
     return rows if limit is None else rows.limit(limit)
 
 

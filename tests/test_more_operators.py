@@ -46,7 +46,7 @@ def test_mined_code(spark):
 
 
 def test_diagnosis(spark):
-    asked = spark.createDataFrame([(1, "abc"), (2, "台座の数"), (3, "xyz"), (4, "nowhere"), (5, "")], "query_id int, expected string")
+    asked = spark.createDataFrame([(1, "ABC"), (2, "台座の数"), (3, "xyz"), (4, "nowhere"), (5, "")], "query_id int, expected string")
     given = spark.createDataFrame([(1, " ＡＢＣ"), (2, "no"), (3, "no"), (4, "no")], "query_id int, predicted string")
     chunks = spark.createDataFrame([(10, "the 台座の数 is"), (11, "xyz here"), (12, None)], "cid int, text string")
     hits = spark.createDataFrame([(2, 10), (3, 10)], "query_id int, cid int")

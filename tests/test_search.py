@@ -21,7 +21,7 @@ def queries(spark, *texts):
 def test_bm25_of_the_micro_corpus(spark, micro):
     hits = {r["unit_seq"]: r["lexical_score"] for r in lexical.search_bm25(micro, queries(spark, "apple pear")).collect()}
     assert hits == {1: pytest.approx(1.0708543050, abs=1e-9), 2: pytest.approx(0.1985680322, abs=1e-9)}
-    assert micro.n_documents == 2 and micro.average_length == 2.5 and micro.empty.count() == 2
+    assert micro.n_documents == 2 and micro.average_length == 2.5 and micro.documents.count() == 4
 
 
 def test_queries_without_terms(spark, micro):
@@ -152,15 +152,16 @@ def test_glossary(spark):
     assert got[2]["expanded"] == "HKX" and got[3]["names"] == []
 
 
-def test_searches_ask_every_twentieth_unit(spark, monkeypatch):
+def test_searches_ask_every_twentieth_unit(spark, tmp_path):
     from shiori.plans import catalogue
 
     rows = [(k, f"u{k}", "d", "page_text", f"word{k} common", [f"e{k}"]) for k in range(1, 2_401)]
-    monkeypatch.setattr(catalogue.records, "units", lambda spark, folder: spark.createDataFrame(rows, UNITS))
-    cases = catalogue._cases(spark, "").select("unit_seq").collect()
+    text = "struct(search_text) as text"
+    spark.createDataFrame(rows, UNITS).selectExpr("unit_seq", "search_unit_id", "document_id", "unit_type", text, "source_evidence_ids").write.parquet(str(tmp_path / "search_units.parquet"))
+    cases = catalogue._cases(spark, str(tmp_path)).select("unit_seq").collect()
     assert {r["unit_seq"] for r in cases} == set(range(20, 2_401, 20)) and len(cases) == 120
-    assert catalogue.bm25_search(spark, "").select("query_id").distinct().count() == 120
-    assert catalogue.self_eval_cases(spark, "").count() == 100
+    assert catalogue.bm25_search(spark, str(tmp_path)).select("query_id").distinct().count() == 120
+    assert catalogue.self_eval_cases(spark, str(tmp_path)).count() == 100
 
 
 def test_every_twentieth_document_is_a_question(spark, tmp_path):
