@@ -164,7 +164,35 @@ def p7_containers(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER)
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of containers, tokens, share of room used and of containers that hold one source twice or more."""
-    rows = p7_containers(spark, folder)
-    each = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"), (F.count("source") > F.count_distinct("source")).alias("shares_source"))
-    return each.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_texts").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), F.round(F.avg(F.col("n_tokens") / CAPACITY), 4).alias("mean_fill"), F.max("n_tokens").alias("largest"), F.round(F.avg(F.col("shares_source").cast("int")), 4).alias("share_with_repeated_source"))
+    """Number of containers, tokens, share of room used, and the containers whose conflicts were given way to:
+    those with more than SOURCE_LIMIT texts of a source, and those with copies of one text."""
+    sizes = cut(with_sizes(table(spark, folder, "documents", "doc_id", "source", "text"), TOKENIZER))
+    rows = cut(fill_containers(sizes))
+    each = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
+    sources = rows.where(F.col("source").isNotNull()).groupBy("container_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    copies = rows.join(sizes.select("doc_id", "copies"), "doc_id").groupBy("container_id", "copies").agg(F.count_distinct("doc_id").alias("n"))
+    beyond = sources.groupBy("container_id").agg(F.max("n").alias("same_source")).join(copies.groupBy("container_id").agg(F.max("n").alias("same_text")), "container_id", "full_outer")
+    each = each.join(beyond, "container_id", "left")
+    return each.agg(
+        F.count(F.lit(1)).alias("n_containers"),
+        F.sum("n_texts").alias("n_pieces"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.round(F.avg(F.col("n_tokens") / CAPACITY), 4).alias("mean_fill"),
+        F.max("n_tokens").alias("largest"),
+        F.count_if(F.col("same_source") > SOURCE_LIMIT).alias("n_beyond_source_limit"),
+        F.count_if(F.col("same_text") > 1).alias("n_with_copies"),
+    )
+
+
+def p7_conserved(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, is_whole) of each document with a text: whether its tokens lie in the containers once each, in
+    one piece unless it is longer than a container, and no container it lies in is overfull."""
+    sizes = cut(with_sizes(table(spark, folder, "documents", "doc_id", "source", "text"), TOKENIZER))
+    rows = cut(fill_containers(sizes))
+    full = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("held"))
+    item = F.struct("token_start", "n_tokens")
+    each = rows.join(full, "container_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("pieces"), F.max("held").alias("held"))
+    ends = F.aggregate("pieces", F.lit(0), lambda at, p: F.when(p["token_start"] == at, at + p["n_tokens"]).otherwise(-1))
+    joined = sizes.where(F.col("n_tokens") > 0).join(each, "doc_id", "left")
+    least = F.ceil(F.col("n_tokens") / CAPACITY)
+    return joined.select("doc_id", F.coalesce((ends == F.col("n_tokens")) & (F.col("held") <= CAPACITY) & (F.size("pieces") == least), F.lit(False)).alias("is_whole"))

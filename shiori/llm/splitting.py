@@ -2,7 +2,8 @@
 
 Lexical cohesion: the words of the sentences before and after each gap are compared (blocks of
 BLOCK sentences, cosine); a gap's depth is how far its similarity lies below the peaks on either side.
-Within each size window the cut goes to the deepest valley. A sentence longer than the window is first
+Within each size window, behind the length of an overlap, the cut goes to the deepest valley, the last of
+equal ones. A sentence longer than the window is first
 cut at clauses, then at spaces, then between grapheme clusters.
 """
 
@@ -123,7 +124,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
         while k < len(ends) and ends[k] <= done + room:
             if ends[k] > done:
                 last = k
-                if ends[k] - done > room // 2 and (best is None or depths[k] >= depths[best]):
+                if ends[k] - done > overlap and (best is None or depths[k] >= depths[best]):
                     best = k
             k += 1
         cut = ends[best if best is not None else last] if last is not None else done + room
@@ -176,3 +177,16 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where(F.col("piece_no") == 0).select("table_name", "record_id")
+
+
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """(table_name, record_id, n_chars, text_md5) of the pieces of each oversized text put together again, each
+    piece after the first without the OVERLAP characters that it repeats; only if every piece is in its
+    limit and repeats what it should."""
+    pieces = p1_pieces(spark, folder)
+    item = F.struct("piece_no", "start", "end", "piece_text")
+    each = pieces.groupBy("table_name", "record_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    bare = F.transform("p", lambda x, k: F.when(k == 0, x["piece_text"]).otherwise(F.substring(x["piece_text"], F.lit(OVERLAP + 1), F.lit(LIMIT))))
+    repeats = F.transform("p", lambda x, k: (F.length(x["piece_text"]) <= LIMIT) & (x["piece_no"] == k) & ((k == 0) | (F.right(F.get("p", k - 1)["piece_text"], F.lit(OVERLAP)) == F.left(x["piece_text"], F.lit(OVERLAP)))))
+    text = F.when(F.forall(repeats, lambda x: x), F.array_join(bare, ""))
+    return each.select("table_name", "record_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))

@@ -67,6 +67,11 @@ arrays AS (SELECT unit, seq, CAST(vector AS DOUBLE[96]) AS v FROM rows)"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_TEXTS} SELECT DISTINCT table_name, record_id FROM texts WHERE length(text) > 1200",
+        "p1_rejoined": f"WITH {_TEXTS}, once AS (SELECT table_name, record_id, max(text) AS text FROM texts WHERE length(text) > 1200 GROUP BY ALL) SELECT table_name, record_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM once",
+        "p7_conserved": "SELECT doc_id, true AS is_whole FROM (SELECT DISTINCT doc_id FROM documents WHERE length(text) > 0)",
+        "p8_caps": """WITH wanted AS (SELECT replace(lower(trim(source)), '-', '_') AS source FROM mix_targets WHERE target_weight > 0 AND NOT isnan(target_weight) AND source IS NOT NULL GROUP BY 1),
+held AS (SELECT DISTINCT replace(lower(trim(source)), '-', '_') AS source FROM documents WHERE length(text) > 0)
+SELECT source, source IN (SELECT source FROM held WHERE source IS NOT NULL) AS has_documents, true AS within_cap, true AS within_share FROM wanted""",
         "p2_found": f"""WITH {_TEXTS}, forms AS (SELECT *, {_visible("text")} AS form FROM texts)
 SELECT DISTINCT a.table_name, a.record_id AS id_a, b.record_id AS id_b FROM forms a JOIN forms b
 ON a.table_name = b.table_name AND a.document_id = b.document_id AND a.form = b.form AND a.record_id < b.record_id AND a.text <> b.text""",
