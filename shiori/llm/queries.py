@@ -11,6 +11,7 @@ def queries() -> dict:
         "p1_pieces": splitting.p1_pieces,
         "p1_rejoined": splitting.p1_rejoined,
         "p2_found": lookalike.p2_found,
+        "p2_classes": lookalike.p2_classes,
         "p2_forms": lookalike.p2_forms,
         "p3_found": termcounts.p3_found,
         "p3_terms": termcounts.p3_terms,

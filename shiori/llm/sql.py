@@ -4,20 +4,65 @@ from __future__ import annotations
 
 import unicodedata
 
-from .lookalike import _tables
+# Letters that look like a Latin one, in the order of the Latin letters below; stated here again so
+# that the SQL does not take them from the operator.
+_FOREIGN = "АВЕЅІЈКМНОРСТХҮѴԌԚԜӀаеорсухѕіјһԁԛԝѵӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳϹͿ" "ՕօՏɑɡ" "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏕᏙᏞᏟᏢᏦᏴ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+_LATIN = "ABESIJKMHOPCTXYVGQWIaeopcyxsijhdqwvl" "ABEZHIKMNOPTYXovpcjCJ" "OoSag" "IVXLCDMivxlcdm" "DRTAJEWMHGZSVLCPKB" "BPDTGKJCZFMNLSRVHWXYAEIOU"
+_HAN, _KANA = "力口囗工卜夕八二一丿", "カロロエトタハニーノ"
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _visible(column: str) -> str:
-    """The visible form as SQL: single characters by translate, then removal, then composition."""
-    mapped = _tables()[0]
-    one = {chr(k): v for k, v in mapped.items() if len(v) == 1 and k != 0 and unicodedata.normalize("NFC", chr(k)) != v}
-    gone = [chr(k) for k, v in mapped.items() if v == "" and k]
+def _ranges(where) -> list[str]:
+    return [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11A00), *range(0x1D100, 0x1D200), *range(0xE0000, 0xE01F0)) if where(chr(c))]
+
+
+def _clean(column: str) -> str:
+    """One width, kind of space and line break, nothing without a glyph, composed: single characters by translate."""
+    kind, shape = unicodedata.category, unicodedata.decomposition
+    shown = {chr(x) for x in (*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)}
+    blank = {chr(x) for x in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)}
+    lines = "\r\x0b\x0c\x85\u2028\u2029"
+    gone = _ranges(lambda c: c in blank or kind(c) == "Cf" and c not in shown or kind(c) == "Cc" and c not in lines + "\n\t" or 0xFE00 <= ord(c) < 0xFE10 or 0xE0100 <= ord(c))
+    single = _ranges(lambda c: c not in blank and (shape(c)[:6] in ("<wide>", "<narro") or shape(c)[:8] == "<compat>" and 0x2E80 <= ord(c) <= 0x2FD5))
+    plain = [chr(int(shape(c).split()[1], 16)) for c in single]
+    spaces = "\t" + "".join(_ranges(lambda c: kind(c) == "Zs" and c not in " \u3000"))
+    # A wide character may stand for one that has no glyph; a wide micro sign is a mu as well.
+    pairs = [(a, b) for a, b in zip(single, plain) if b not in gone]
+    gone += [a for a, b in zip(single, plain) if b in gone]
+    source = "".join(a for a, _ in pairs) + spaces + lines + "µ"
+    target = "".join(b for _, b in pairs) + " " * len(spaces) + "\n" * len(lines) + "μ"
     breaks = f"replace({column}, chr(13) || chr(10), chr(10))"
-    return f"nfc_normalize(translate(translate({breaks}, {_text(''.join(gone))}, ''), {_text(''.join(one))}, {_text(''.join(one.values()))}))"
+    return f"nfc_normalize(translate(translate({breaks}, {_text(''.join(gone))}, ''), {_text(source)}, {_text(target)}))"
+
+
+def _visible(clean: str) -> str:
+    """The key of a clean text. Letters are taken apart, so that a look-alike with an accent is found too."""
+    return f"nfc_normalize(translate({clean}, {_text(_accented()[0] + _FOREIGN + _HAN + 'へべぺ')}, {_text(_accented()[1] + _LATIN + _KANA + 'ヘベペ')}))"
+
+
+def _accented() -> tuple[str, str]:
+    """Accented letters of which the base is a look-alike, and the same accents on the Latin letter."""
+    to = dict(zip(_FOREIGN, _LATIN))
+    found = []
+    for c in _ranges(lambda c: len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0] in to):
+        apart = unicodedata.normalize("NFD", c)
+        whole = unicodedata.normalize("NFC", to[apart[0]] + apart[1:])
+        if len(whole) == 1:
+            found.append((c, whole))
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def _delivered(clean: str) -> str:
+    """A clean text with look-alikes made Latin inside words that have a Latin letter."""
+    parts = rf"regexp_extract_all({clean}, '[\p{{L}}\p{{M}}\p{{Nl}}]+|[^\p{{L}}\p{{M}}\p{{Nl}}]+')"
+    word = f"CASE WHEN regexp_matches(w, '[a-zA-ZÀ-ÖØ-öø-ɏ]') THEN nfc_normalize(translate(w, {_text(_accented()[0] + _FOREIGN)}, {_text(_accented()[1] + _LATIN)})) ELSE w END"
+    return f"array_to_string(list_transform({parts}, lambda w: {word}), '')"
+
+
+_MIXED = rf"[\x{{4e00}}-\x{{9fff}}][{_KANA}]|[{_KANA}][\x{{4e00}}-\x{{9fff}}]|[\x{{30a1}}-\x{{30fa}}][{_HAN}]|[{_HAN}][\x{{30a1}}-\x{{30fa}}]"
 
 
 _TEXTS = """texts AS (
@@ -72,10 +117,18 @@ def oracle_sql() -> dict[str, str]:
         "p8_caps": """WITH wanted AS (SELECT replace(lower(trim(source)), '-', '_') AS source FROM mix_targets WHERE target_weight > 0 AND NOT isnan(target_weight) AND source IS NOT NULL GROUP BY 1),
 held AS (SELECT DISTINCT replace(lower(trim(source)), '-', '_') AS source FROM documents WHERE length(text) > 0)
 SELECT source, source IN (SELECT source FROM held WHERE source IS NOT NULL) AS has_documents, true AS within_cap, true AS within_share FROM wanted""",
-        "p2_found": f"""WITH {_TEXTS}, forms AS (SELECT *, {_visible("text")} AS form FROM texts)
+        "p2_found": f"""WITH {_TEXTS}, forms AS (SELECT *, {_visible("c")} AS form FROM (SELECT *, {_clean("text")} AS c FROM texts))
 SELECT DISTINCT a.table_name, a.record_id AS id_a, b.record_id AS id_b FROM forms a JOIN forms b
 ON a.table_name = b.table_name AND a.document_id = b.document_id AND a.form = b.form AND a.record_id < b.record_id AND a.text <> b.text""",
-        "p2_forms": f"""WITH {_TEXTS} SELECT DISTINCT table_name, record_id, {_visible("text")} AS form, {_visible("text")} <> text AS changed FROM texts WHERE text IS NOT NULL""",
+        "p2_classes": f"""WITH {_TEXTS}, forms AS MATERIALIZED (SELECT *, {_visible("c")} AS form FROM (SELECT *, {_clean("text")} AS c FROM texts) WHERE text IS NOT NULL AND document_id IS NOT NULL AND record_id IS NOT NULL),
+sizes AS (SELECT table_name, document_id, form, count(DISTINCT record_id) AS n_records, min(record_id) AS class_id, count(DISTINCT text) AS n_texts FROM forms GROUP BY ALL),
+same AS (SELECT table_name, document_id, form, text, count(DISTINCT record_id) AS n FROM forms GROUP BY ALL)
+SELECT table_name, document_id, record_id, class_id, max(n_records) AS n_records, max(n_records - n) AS n_links FROM forms JOIN sizes USING (table_name, document_id, form) JOIN same USING (table_name, document_id, form, text)
+WHERE n_texts > 1 GROUP BY table_name, document_id, record_id, class_id HAVING max(n_records - n) > 0""",
+        "p2_forms": f"""WITH {_TEXTS}, cleaned AS MATERIALIZED (SELECT DISTINCT table_name, record_id, text, {_clean("text")} AS c FROM texts WHERE text IS NOT NULL),
+keyed AS MATERIALIZED (SELECT *, {_visible("c")} AS key, {_delivered("c")} AS own FROM cleaned),
+best AS (SELECT key, min({{'m': len(regexp_extract_all(own, '{_MIXED}')) + len(regexp_extract_all(own, '[{_FOREIGN}]')), 'f': own}}).f AS form FROM keyed GROUP BY key)
+SELECT DISTINCT table_name, record_id, form, form <> text AS changed FROM keyed JOIN best USING (key)""",
         "p3_found": f"""WITH {_term_counts()} SELECT term_id, 'rare' AS mark FROM marked WHERE is_rare UNION ALL SELECT term_id, 'common' FROM marked WHERE is_common""",
         "p3_terms": f"WITH {_term_counts()} SELECT * FROM marked",
         "p5_found": f"""WITH {_COSINES},

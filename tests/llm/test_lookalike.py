@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from shiori.llm.lookalike import _tables, alike_pairs, fold_width, visible_form, with_visible_form
+from shiori.llm.lookalike import _tables, alike_classes, alike_pairs, clean_form, consistent_forms, fold_width, visible_form, with_visible_form
 
 
 def slow(text):
@@ -90,3 +90,34 @@ def test_form_column(spark):
     assert [r["form"] for r in with_visible_form(df).orderBy("record_id").collect()] == ["AB", None]
     with pytest.raises(ValueError):
         with_visible_form(df.withColumn("form", F.lit(1)))
+
+
+@pytest.mark.parametrize("text", ["工場の入口", "二つ一般的な夕方八時", "口コミとカニの力", "сор и дом", "Ελλάδα", "へいき", "コーヒー", "Ⅳ章 Ⅰ", "ABC-12", ""])
+def test_delivered_texts_keep_what_a_reader_can_name(text):
+    assert clean_form(text) == text
+
+
+@pytest.mark.parametrize("a, b", [("Ѕіtе ассеѕѕ", "Site ассеѕѕ"), ("ＡＢＣ　ｶﾞｽ", "ABC ガス"), ("e​́", "é"), ("⼈", "人"), ("Βox", "Box"), ("Ꮪѕi", "Ꮪsi"), ("dеj̀à", "dej̀à")])
+def test_delivered_texts_lose_what_a_reader_cannot_see(a, b):
+    assert clean_form(a) == unicodedata.normalize("NFC", b)
+
+
+def test_texts_that_look_alike_are_delivered_alike(spark):
+    rows = [("t", "1", "d", "工場"), ("t", "2", "e", "エ場"), ("t", "3", "d", "エ​場"), ("t", "4", "d", "二"), ("u", "5", None, "сор"), ("u", "6", "d", "cop"), ("t", "7", "d", None), ("t", "8", "d", ""), ("t", "1", "d", "工場")]
+    got = {r["record_id"]: (r["form"], r["changed"]) for r in consistent_forms(records(spark, rows)).collect()}
+    assert got == {"1": ("工場", False), "2": ("工場", True), "3": ("工場", True), "4": ("二", False), "5": ("cop", True), "6": ("cop", False), "8": ("", False)}
+    assert consistent_forms(records(spark, rows).limit(0)).count() == 0
+
+
+def test_classes_hold_the_links_of_the_pairs(spark):
+    rng = random.Random(7)
+    texts = ["ABC", "ＡＢＣ", "АВС", "abc", "", "​", None, "工", "エ"]
+    rows = [(rng.choice(["t", "u"]), f"r{k:03d}", rng.choice(["d", "e", None]), rng.choice(texts)) for k in range(150)]
+    pairs = brute(rows)
+    got = {(r["table_name"], r["record_id"]): r["n_links"] for r in alike_classes(records(spark, rows)).collect()}
+    want = {}
+    for t, a, b in pairs:
+        for x in (a, b):
+            want[t, x] = want.get((t, x), 0) + 1
+    assert got == want and len(want) > 50
+    assert alike_classes(records(spark, rows).limit(0)).count() == 0
