@@ -1,8 +1,10 @@
 """Keyword-stuffed and link-list pages (problem 9): a hidden Markov model over lines.
 
 A text is cut into lines (at line breaks and sentence ends); each line gives a few categorical
-observations from counts of character classes and function words. The hidden states are prose, record
-(labelled values), title, link list, tag list and menu. The model starts from seed lines and is refined
+observations: counts of character classes, grammar (function words, hiragana), and how much of its words the
+page repeats throughout. Grammar is known of a few languages only, so in sentences of other languages and in
+program code that observation is missing, which leaves the decision to the others. The hidden states are prose, record
+(labelled values), title, code, link list, tag list and menu. The model starts from seed lines and is refined
 on the hand-labelled pages by Baum-Welch, a page's label weighing for or against the three list states.
 Viterbi decoding labels the lines; a page is flagged if links, tags and menus hold more than half of its
 characters.
@@ -12,6 +14,7 @@ All counting is done on the code points of a whole batch of texts at once.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-STATES = ["prose", "record", "title", "link", "tag", "menu"]
-LISTS = np.array([False, False, False, True, True, True])
+STATES = ["prose", "record", "title", "code", "link", "tag", "menu"]
+LISTS = np.array([s in ("link", "tag", "menu") for s in STATES])
 #: Labelled pages the model is fitted on, at most (those with the smallest hashes), and the length of the longest.
 LABELLED_PAGES = 2_000
 LABELLED_CHARS = 20_000
@@ -31,8 +34,8 @@ ROUNDS = 6
 SHORT = 12
 TITLE = 30
 #: Weight of a seed line against an observed one, and of the list states in pages labelled as clean or spam.
-SEED_WEIGHT = 4.0
-CLEAN_FACTOR, SPAM_FACTOR = 0.3, 2.0
+SEED_WEIGHT = 20.0
+CLEAN_FACTOR, SPAM_FACTOR = 0.03, 3.0
 
 # Frequent function words of the western languages met here.
 FUNCTION_WORDS = (
@@ -57,6 +60,7 @@ SEED_LINES = {
         "valve: A part that opens and closes to control the flow of a liquid.",
     ],
     "record": ["name: bolt", "数量: 12", "品名: 台座", "日付: 2024-05-01", "price: 1,200", "状態: 完了", "Wert: 12.5", "AB-12: 台座", "date: 2023-11-02", "備考: 至急", "担当: 総務課"],
+    "code": ["def total(rows):", "    return sum(r['n'] for r in rows)", "if (a == b) { count += 1; }", "x = load(path)", "for (int i = 0; i < n; i++) {", "}", "SELECT a, count(*) AS n"],
     "title": ["作業計画 v2", "Annual report", "品質記録", "Betriebsanleitung", "メモ 第3版", "Overview"],
     "link": [
         "cheap bolts https://shop.example/item/123",
@@ -70,6 +74,8 @@ SEED_LINES = {
     "tag": [
         "#bolts#cheapbolts#boltsale#boltonline",
         "#ボルト通販＃ナット人気#ボルト最安値",
+        "#cheapbolts, #boltsale, ＃boltonline, #nutrepair, #bestnut",
+        "#ボルト通販 ＃ナット人気 #ボルト最安値、#ナット修理",
         "ボルト 通販、ナット 安い、ボルト 比較、ナット おすすめ",
         "cheap bolts, buy bolts online, bolts sale, best bolts, bolts repair",
         "tags: cheap bolts, buy bolts, bolts sale, best bolts, bolts 2024",
@@ -77,23 +83,33 @@ SEED_LINES = {
         "ボルト 通販 ナット 人気 ボルト 安い",
         "ボルト通販ナット人気座金送料無料ボルト最安値。",
         "Cheap bolts best bolts bolts discount bolts sale repair bolts.",
+        "The best bolts are the cheap bolts and our bolts are bolts for the bolts you need.",
+        "If you want a pump then buy a pump because our pump is the best pump for a pump repair.",
+        "We have bolts in the bolts shop and the bolts sale is on for bolts of all bolts.",
         "AB-123",
         "AB4567/X",
         "AB-123 AB-456 ボルト AB-789 AB-012 ナット",
         "ボルト／AB-123／AB-456／ナット／AB-789",
         "買取 ボルト",
+        "ボルト 送料無料",
+        "人気 ナット",
+        "cheap bolts",
     ],
     "menu": ["Home | Products | About | Contact | Login", "ホーム > 製品 > 会社案内 > 採用", "Home ・ Sitemap ・ Cart ・ Login ・ About", "トップ | 製品 | お問い合わせ | カート | サイトマップ", "Home » Shop » Sale » Cart"],
 }
 
 _CLASS = np.zeros(0x10000, np.uint8)
-_OTHER, _SPACE, _BREAK, _LATIN, _DIGIT, _HIRAGANA, _KATAKANA, _HAN, _END, _HARD, _SLASH, _COLON, _DOT, _SOFT, _HASH = range(15)
-for _first, _last, _kind in ((0x61, 0x7A, _LATIN), (0x41, 0x5A, _LATIN), (0xC0, 0x24F, _LATIN), (0x370, 0x52F, _LATIN), (0xFF21, 0xFF3A, _LATIN), (0xFF41, 0xFF5A, _LATIN), (0x30, 0x39, _DIGIT), (0xFF10, 0xFF19, _DIGIT), (0x3041, 0x309F, _HIRAGANA), (0x30A0, 0x30FF, _KATAKANA), (0xFF66, 0xFF9F, _KATAKANA), (0x3400, 0x9FFF, _HAN), (0xF900, 0xFAFF, _HAN)):
+_OTHER, _SPACE, _BREAK, _LATIN, _DIGIT, _HIRAGANA, _KATAKANA, _HAN, _END, _HARD, _SLASH, _COLON, _DOT, _SOFT, _HASH, _LETTER, _CODE = range(17)
+for _first, _last, _kind in ((0x61, 0x7A, _LATIN), (0x41, 0x5A, _LATIN), (0xC0, 0x24F, _LATIN), (0xFF21, 0xFF3A, _LATIN), (0xFF41, 0xFF5A, _LATIN), (0x30, 0x39, _DIGIT), (0xFF10, 0xFF19, _DIGIT), (0x3041, 0x309F, _HIRAGANA), (0x30A0, 0x30FF, _KATAKANA), (0xFF66, 0xFF9F, _KATAKANA), (0x3400, 0x9FFF, _HAN), (0xF900, 0xFAFF, _HAN)):
     _CLASS[_first : _last + 1] = _kind
-for _chars, _kind in ((" \t　 ", _SPACE), ("\n\r", _BREAK), ("。！？!?．", _END), ("|｜>＞・･／»›•★☆→¥–—=[]", _HARD), ("/", _SLASH), (":：", _COLON), (".", _DOT), (",、，;；", _SOFT), ("#＃", _HASH)):
+for _chars, _kind in ((" \t　 ", _SPACE), ("\n\r", _BREAK), ("。！？!?．।؟۔።։", _END), ("|｜>＞・･／»›•★☆→¥–—[]", _HARD), ("/", _SLASH), (":：", _COLON), (".", _DOT), (",、，;；", _SOFT), ("#＃", _HASH), ("(){}_=<*&\"\'", _CODE)):
     for _c in _chars:
         _CLASS[ord(_c)] = _kind
 
+for _code in range(0xAA, 0x10000):
+    if not _CLASS[_code] and unicodedata.category(chr(_code))[0] in "LM":
+        _CLASS[_code] = _LETTER
+
 _POWERS = np.cumprod(np.full(40, 1_000_003, np.uint64))
 
 
@@ -108,8 +124,17 @@ def _hashes_of(words: list[str]) -> np.ndarray:
 
 
 _FUNCTION = _hashes_of(FUNCTION_WORDS)
-#: Number of values of each observation.
-LEVELS = [11, 3, 4, 4, 4, 6, 4, 4, 2]
+# Letters of the languages whose function words are listed; others tell of another language.
+_COVERED = np.array([ord(c) for x in ("abcdefghijklmnopqrstuvwxyz", "äöüß", "àâæçéèêëîïôœùûÿ") for c in x + x.upper() if len(c) == 1])
+# Frequent Chinese characters that Japanese does not write.
+_CHINESE = np.array([ord(c) for c in "们这吗呢吧很还没过从对为个时说请让谁您你她它們這嗎還個請讓誰妳"])
+#: Number of values of each observation; the last of grammar and of separators means that it is missing.
+LEVELS = [12, 3, 5, 4, 4, 6, 4, 4, 4, 2, 2]
+MISSING = {0: 11, 2: 4}
+#: A word is repeated throughout if it occurs so often and makes up so much of a page's words.
+OFTEN, MUCH = 4, 0.2
+#: Least share of different words in sentences of languages whose grammar is not known.
+DIVERSE = 0.8
 
 
 def observe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,25 +153,38 @@ def observe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends[stops[:-1][short & (kind[stops[:-1]] != _BREAK)]] = False
     line = np.cumsum(np.r_[False, ends[:-1]])
     n = int(line[-1]) + 1
-    count = np.bincount(line * 16 + kind, minlength=16 * n).reshape(n, 16)
+    count = np.bincount(line * 17 + kind, minlength=17 * n).reshape(n, 17)
     width = count.sum(axis=1) - count[:, _SPACE] - count[:, _BREAK]
-    # Function words among western words.
-    letters = np.flatnonzero(kind == _LATIN)
+    text_of = np.repeat(np.arange(len(texts)), sizes)[np.flatnonzero(np.r_[True, ends[:-1]])]
+    # Words: runs of letters of one class. Function words among western ones; others are content.
+    letters = np.flatnonzero((kind == _LATIN) | (kind == _LETTER) | (kind == _KATAKANA) | (kind == _HAN))
     lower = codes[letters]
     lower = np.where((lower >= 65) & (lower <= 90) | (lower >= 0xC0) & (lower <= 0xDE) & (lower != 0xD7), lower + 32, lower)
-    words = function = np.zeros(n, np.int64)
+    words = function = contents = repeated = np.zeros(n, np.int64)
+    known_share = different = np.zeros(len(texts))
     if len(letters):
-        starts = np.flatnonzero(np.r_[True, np.diff(letters) > 1])
-        where = line[letters[starts]]
-        words = np.bincount(where, minlength=n)
-        known = np.isin(_word_hashes(lower, starts), _FUNCTION)
+        starts = np.flatnonzero(np.r_[True, (np.diff(letters) > 1) | (np.diff(kind[letters]) != 0)])
+        where, kinds, hashes = line[letters[starts]], kind[letters[starts]], _word_hashes(lower, starts)
+        latin = kinds == _LATIN
+        words = np.bincount(where[latin], minlength=n)
+        known = latin & np.isin(hashes, _FUNCTION)
         function = np.bincount(where[known], minlength=n)
+        page = text_of[where]
+        known_share = np.bincount(page[known], minlength=len(texts)) / np.maximum(np.bincount(page[latin], minlength=len(texts)), 1)
+        content = ~known & (np.diff(np.r_[starts, len(letters)]) >= np.where((kinds == _KATAKANA) | (kinds == _HAN), 2, 3))
+        _, number, times = np.unique(hashes[content] ^ page[content].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
+        total = np.bincount(page[content], minlength=len(texts))
+        often = times[number]
+        different = np.bincount(page[content], 1.0 / often, len(texts)) / np.maximum(total, 1)
+        hot = (often >= OFTEN) & (often >= MUCH * total[page[content]])
+        contents = np.bincount(where[content], minlength=n)
+        repeated = np.bincount(where[content][hot], minlength=n)
     cjk = count[:, _HIRAGANA] + count[:, _KATAKANA] + count[:, _HAN]
     size = np.maximum(width, 1)
-    east = cjk >= count[:, _LATIN]
+    east = (cjk >= count[:, _LATIN]) & (cjk >= count[:, _LETTER])
     share = np.where(east, count[:, _HIRAGANA] / np.maximum(cjk, 1), function / np.maximum(words, 1))
     level = np.where(east, np.searchsorted([0.001, 0.1, 0.2, 0.3], share, "right"), np.searchsorted([0.001, 0.13, 0.22, 0.36], share, "right"))
-    grammar = np.where(cjk + count[:, _LATIN] == 0, 10, level + np.where(east, 0, 5))
+    grammar = np.where(cjk + count[:, _LATIN] + count[:, _LETTER] == 0, 10, level + np.where(east, 0, 5))
     # A colon before a slash belongs to an address; one near the start of a line ends a label.
     scheme = np.bincount(line[(kind == _COLON) & (after == _SLASH)], minlength=n)
     colons = np.flatnonzero((kind == _COLON) & (after != _SLASH))
@@ -154,7 +192,8 @@ def observe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     label = np.zeros(n, bool)
     label[line[colons[colons - first_of_line[line[colons]] <= 24]]] = True
     link = np.where((scheme > 0) | (count[:, _SLASH] >= 2) & (count[:, _DOT] > 0), 2, (count[:, _SLASH] > 0).astype(int))
-    hard = np.searchsorted([1e-9, 0.03, 0.08], (count[:, _HARD] + count[:, _HASH]) / size, "right")
+    equals = np.bincount(line[codes == 61], minlength=n)
+    hard = np.searchsorted([1e-9, 0.03, 0.08], (count[:, _HARD] + count[:, _HASH] + equals) / size, "right")
     soft = np.searchsorted([1e-9, 0.045, 0.075], count[:, _SOFT] / size, "right")
     stop = np.bincount(line[latin_stop | (kind == _END)], minlength=n) > 0
     commas = count[:, _SOFT] >= 3
@@ -162,8 +201,23 @@ def observe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.searchsorted([7, 15, 31, 61, 121], width, "right")
     digits = np.searchsorted([1e-9, 0.15, 0.35], count[:, _DIGIT] / size, "right")
     gaps = np.where(east, np.searchsorted([1e-9, 0.08], count[:, _SPACE] / size, "right"), 3)
-    seen = np.stack([grammar, link, hard, soft, shape, length, digits, gaps], axis=1)
-    text = np.repeat(np.arange(len(texts)), sizes)[np.flatnonzero(np.r_[True, ends[:-1]])]
+    repeats = np.where(repeated == 0, 0, 1 + np.searchsorted([0.25, 0.45], repeated / np.maximum(contents, 1), "right"))
+    # Sentences of other languages: no separators, no links, different words; and code, of which marks tell.
+    plain = (hard == 0) & (link == 0) & (soft <= 2) & (repeats == 0)
+    uncovered = np.bincount(text_of[line[(kind == _LATIN) & ~np.isin(codes, _COVERED)]], minlength=len(texts))
+    chinese_text = np.bincount(text_of[line[np.isin(codes, _CHINESE)]], minlength=len(texts))
+    diverse = different[text_of] >= DIVERSE
+    strange = count[:, _LETTER] > np.maximum(cjk, count[:, _LATIN])
+    western = ~east & (known_share[text_of] < 0.1) & (uncovered[text_of] > 0) & stop & (words >= 3)
+    chinese = east & (count[:, _HIRAGANA] + count[:, _KATAKANA] == 0) & (count[:, _HAN] >= 8) & (chinese_text[text_of] > 0) & stop & (count[:, _SPACE] <= 1)
+    marks = count[:, _CODE]
+    code = (marks >= 2) & (marks >= 0.05 * size) & (link < 2) & (count[:, _HASH] <= 1) & (cjk == 0)
+    unknown = plain & diverse & (strange | western | chinese)
+    grammar = np.where(unknown | code, MISSING[0], grammar)
+    shape = np.where(unknown & strange & (width >= 20), 1, shape)  # some scripts don't mark the end of a sentence
+    hard = np.where(code, MISSING[2], hard)
+    seen = np.stack([grammar, link, hard, soft, shape, length, digits, gaps, repeats, code.astype(np.int64)], axis=1)
+    text = text_of
     some = width > 0
     text, seen, width = text[some], seen[some], width[some]
     alone = (np.bincount(text, minlength=len(texts))[text] == 1) & (width <= TITLE)
@@ -212,7 +266,10 @@ class LineModel:
 
 def _from_counts(start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]) -> LineModel:
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return LineModel(log(start), log(move), [log(e) for e in emit])
+    made = [log(e if f not in MISSING else e[:, : MISSING[f]]) for f, e in enumerate(emit)]
+    for f in MISSING:
+        made[f] = np.c_[made[f], np.zeros(len(made[f]))]  # a missing observation favours no state
+    return LineModel(log(start), log(move), made)
 
 
 def fit(pages: list[tuple[str, int]]) -> LineModel:
@@ -225,12 +282,12 @@ def fit(pages: list[tuple[str, int]]) -> LineModel:
         for f, table in enumerate(emit0):
             table[k] += SEED_WEIGHT * np.bincount(seen[:, f], minlength=LEVELS[f])
     # A title stands alone or leads into something else; every other kind of line goes on.
-    stay = np.array([0.9, 0.93, 0.05, 0.9, 0.93, 0.9])
+    stay = np.array([0.9, 0.93, 0.05, 0.93, 0.9, 0.93, 0.9])
     move0 = np.full((states, states), 1.0)
     move0[:, STATES.index("title")] = 0.5
     move0[np.arange(states), np.arange(states)] = 0
     move0 = move0 / move0.sum(axis=1, keepdims=True) * (1 - stay)[:, None] + np.diag(stay)
-    start0 = np.array([0.5, 0.15, 0.15, 0.07, 0.07, 0.06])
+    start0 = np.array([0.5, 0.14, 0.14, 0.02, 0.07, 0.07, 0.06])
     model = _from_counts(start0, move0, emit0)
     if not pages:
         return model
@@ -263,6 +320,7 @@ def fit(pages: list[tuple[str, int]]) -> LineModel:
                     behind = step @ arrive
                     behind /= behind.sum()
             start += weight[a]
+        weight[:, STATES.index("code")] = 0  # code keeps what its seeds say: no labelled page need hold any
         model = _from_counts(20 * start0 + start, 200 * move0 + move, [e0 + weight.T @ hot for e0, hot in zip(emit0, one_hot)])
     return model
 

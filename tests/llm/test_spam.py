@@ -92,3 +92,42 @@ def test_states_of_lines(line, state):
     model = spam.fit([])
     text, seen, _ = spam.observe(["\n".join([line] * 5)])
     assert {spam.STATES[k] for k in model.decode(text, seen)} == {state}
+
+
+# Pages of languages whose grammar the model doesn't know, code, and keywords dressed as sentences or in other languages.
+UNSEEN = [
+    (False, '我们昨天开会讨论了这个项目的进展。大家都同意在下个月之前完成测试。'),
+    (False, '这台机器的温度太高了，请马上联系维修人员。'),
+    (False, '어제 회의에서 다음 달 일정을 정했습니다. 담당자는 내일까지 보고서를 제출해야 합니다.'),
+    (False, '기계의 온도가 너무 높아서 작업을 멈추었다.'),
+    (False, 'Wczoraj na spotkaniu omówiliśmy postęp prac i ustaliliśmy nowe terminy. Raport zostanie wysłany do klienta w piątek.'),
+    (False, 'Maszyna nie działa, ponieważ czujnik jest uszkodzony.'),
+    (False, 'ناقش الفريق أمس خطة العمل للشهر القادم. سيتم إرسال التقرير إلى العميل يوم الجمعة.'),
+    (False, 'कल की बैठक में हमने अगले महीने की योजना पर चर्चा की। रिपोर्ट शुक्रवार को भेजी जाएगी।'),
+    (False, 'Вчера на совещании мы обсудили план работ на следующий месяц. Отчет будет отправлен в пятницу.'),
+    (False, 'Ayer hablamos de los plazos del proyecto y decidimos cambiar la fecha de entrega. El informe se enviará el viernes.'),
+    (False, 'Ieri abbiamo discusso il piano di lavoro con il cliente. La relazione sarà pronta per venerdì.'),
+    (False, 'Vi diskuterade planen för nästa månad och bestämde att rapporten ska skickas på fredag.'),
+    (False, 'Dün toplantıda projenin ilerlemesini konuştuk. Rapor cuma günü müşteriye gönderilecek.'),
+    (False, 'Chúng tôi đã thảo luận kế hoạch cho tháng sau và quyết định gửi báo cáo vào thứ sáu.'),
+    (False, 'เมื่อวานนี้เราได้ประชุมเรื่องแผนงานของเดือนหน้า และตกลงว่าจะส่งรายงานในวันศุกร์'),
+    (False, 'Χθες συζητήσαμε το σχέδιο για τον επόμενο μήνα. Η αναφορά θα σταλεί την Παρασκευή.'),
+    (False, "import os\n\ndef load(path):\n    with open(path) as f:\n        return f.read()\n\nfor name in os.listdir('.'):\n    print(name, len(load(name)))\n"),
+    (False, '#include <stdio.h>\nint main(void) {\n  int total = 0;\n  for (int i = 0; i < 10; i++) {\n    total += i;\n  }\n  printf("%d\\n", total);\n  return 0;\n}\n'),
+    (False, '発注済み。納期は来週。部品待ち。\n山田さんに確認、返事なし。\n明日また電話する。'),
+    (True, 'If you need shoes then buy shoes because our shoes are the cheapest shoes and the best shoes for men shoes and women shoes in the shoes store with shoes discount.'),
+    (True, 'cheap bolts, buy bolts online, bolts sale, best bolts, bolts repair, bolts discount, bolts near me, bolts price'),
+    (True, 'Home | Products | About | Contact | Login\nHome > Shop > Sale > Cart\nSitemap | Privacy | Terms | Help'),
+    (True, 'tanie śruby, śruby sklep, śruby online, śruby wyprzedaż, najlepsze śruby, śruby promocja, śruby cena, śruby hurt'),
+    (True, 'дешевые болты, купить болты, болты онлайн, болты скидка, болты цена, лучшие болты, болты оптом'),
+    (True, 'ボルト 通販 ボルト 激安 ボルト 人気 ボルト 最安値 ボルト 送料無料 ボルト おすすめ'),
+    (True, 'https://shop.example/a/1\nhttps://shop.example/a/2\nhttps://shop.example/a/3 cheap\n'),
+]
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_other_languages_code_and_dressed_keywords(fitted):
+    train = [(prose(), 0) for _ in range(60)] + [(junk(), 1) for _ in range(25)] + [(record(), 0) for _ in range(10)]
+    lists, every = spam.list_share([t for _, t in UNSEEN], spam.fit(train if fitted else []))
+    wrong = [t[:20] for a, b, (want, t) in zip(lists, every, UNSEEN) if (a > 0.5 * b) != want]
+    assert len(wrong) <= 1, wrong
