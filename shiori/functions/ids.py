@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def canonical(**fields: Column) -> Column:
@@ -16,6 +17,16 @@ def stable_id(prefix: str, **fields: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(canonical(**fields), 256), 1, 32))
 
 
+def ordered(column: Column, kind: DataType) -> Column:
+    """column with the fields of all its structs in the order of their names, as canonical JSON has them."""
+    if isinstance(kind, StructType):
+        fields = [ordered(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+        return F.transform(column, lambda x: ordered(x, kind.elementType))
+    return column
+
+
 def content_hash(raw_text: Column | None = None, raw_value: Column | None = None, content_ref: Column | None = None) -> Column:
     """SHA-256 of the one payload a content has: text before value before reference."""
     out = None

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import content_hash
+from ..functions.ids import content_hash, ordered, stable_id
+from .joins import hot_join
 
 # Types of units and statuses of an extraction.
 UNIT_TYPES = ["paragraph_chunk", "table_row", "slide_text", "page_text"]
+# The version of the record schemas and the builder of units.
+SCHEMA_VERSION, BUILDER = "0.1", "search-unit-builder"
 STATUSES = ["pending", "success", "partial", "deferred", "failed"]
 
 
@@ -33,61 +36,149 @@ def repeated(df: DataFrame, key: str, content: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(F.struct(*content)).alias("n")).where(F.col("n") > 1)
 
 
-def documents(df: DataFrame) -> DataFrame:
+def _versions(df: DataFrame, kind: str, required: list[str]) -> dict[str, DataFrame]:
+    """Records of another version or type, and those without a field they need."""
+    own = F.coalesce((F.col("schema_version") == SCHEMA_VERSION) & (F.col("record_type") == kind), F.lit(False))
+    lacking = F.lit(False)
+    for name in required:
+        lacking = lacking | F.col(name).isNull()
+    return {"schema version or record type wrong": df.where(~own), "required field missing": df.where(lacking)}
+
+
+def _malformed(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    return df.where(~F.coalesce(F.col(key).rlike(f"^{prefix}_[0-9a-f]{{16,64}}$"), F.lit(False)))
+
+
+def documents(df: DataFrame, recompute_ids: bool = True) -> DataFrame:
+    """Checks within the documents. recompute_ids: whether an id must be the hash of what it stands for; unset
+    it for tables whose ids come from elsewhere."""
+    path, sha = F.col("source.relative_path"), F.col("source.sha256")
+    checks = _versions(df, "document", ["document_id", "source", "extraction"]) | {
+        "document id malformed": _malformed(df, "document_id", "doc"),
+        "status unknown": df.where(~F.coalesce(F.col("extraction.status").isin(STATUSES), F.lit(False))),
+        "document id ambiguous": repeated(df.withColumn("path", path), "document_id", ["path"]),
+    }
+    if recompute_ids:
+        checks["document id unstable"] = df.where(~F.col("document_id").eqNullSafe(stable_id("doc", relative_path=path, source_sha256=sha)))
+    return union(checks, "document_id")
+
+
+def source_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Documents whose source isn't below the root, is missing, or has other bytes than recorded; files:
+    path (relative to the root), sha256, size_bytes."""
+    source = df.select("document_id", F.col("source.relative_path").alias("path"), F.col("source.sha256").alias("sha"), F.col("source.size_bytes").alias("size"))
+    known = files.groupBy("path").agg(F.max("sha256").alias("sha256"), F.max("size_bytes").alias("size_bytes"))
+    found = source.join(known.withColumn("there", F.lit(True)), "path", "left")
+    outside = F.coalesce(F.col("path").rlike(r"(^/)|(^|/)\.\.(/|$)"), F.lit(True))
     return union(
         {
-            "document id malformed": df.where(~F.coalesce(F.col("document_id").rlike("^doc_[0-9a-f]{16,64}$"), F.lit(False))),
-            "status unknown": df.where(~F.coalesce(F.col("extraction.status").isin(STATUSES), F.lit(False))),
-            "document id ambiguous": repeated(df.withColumn("path", F.col("source.relative_path")), "document_id", ["path"]),
+            "source path leaves the root": source.where(outside),
+            "source file missing": found.where(~outside & F.col("there").isNull()),
+            "source hash wrong": found.where(F.col("there") & ~F.col("sha").eqNullSafe(F.col("sha256"))),
+            "source size wrong": found.where(F.col("there") & ~F.col("size").eqNullSafe(F.col("size_bytes"))),
         },
         "document_id",
     )
 
 
-def evidence(df: DataFrame, payload_hash: bool = True) -> DataFrame:
-    """Checks within the evidence: ids, content hashes, ambiguous ids, parents of other documents.
+def evidence(df: DataFrame, documents: DataFrame, payload_hash: bool = True, recompute_ids: bool = True) -> DataFrame:
+    """Checks of the evidence: versions, ids, content hashes, documents and parents; documents: document_id.
 
-    A content's hash is that of its payload; with payload_hash unset, of its text alone, as some builders write it."""
+    A content's hash is that of its payload; with payload_hash unset, of its text alone, as some builders
+    write it. recompute_ids as in documents().
+    """
     text, sha = F.col("content.raw_text"), F.col("content.sha256")
-    digest = content_hash(text) if payload_hash else F.sha2(text, 256)
-    own = df.where(F.col("parent_evidence_id").isNotNull()).select("evidence_id", "document_id", "parent_evidence_id").distinct()
-    parents = df.select(F.col("evidence_id").alias("parent_evidence_id"), F.col("document_id").alias("parent_document")).distinct()
-    return union(
-        {
-            "evidence id malformed": df.where(~F.coalesce(F.col("evidence_id").rlike("^ev_[0-9a-f]{16,64}$"), F.lit(False))),
-            "text hash wrong": df.where(text.isNotNull() & sha.isNotNull() & (digest != sha)),
-            "evidence id ambiguous": repeated(df.withColumn("text", text), "evidence_id", ["document_id", "parent_evidence_id", "text"]),
-            "parent in another document": own.join(parents, "parent_evidence_id").where(F.col("document_id") != F.col("parent_document")),
-        },
-        "evidence_id",
-    )
-
-
-def relations(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations whose ends are missing; nodes: record_type, record_id."""
+    payload = content_hash(text, F.col("content.raw_value"), F.col("content.content_ref"))
+    digest = payload if payload_hash else F.sha2(text, 256)
+    narrow = df.select("evidence_id", "document_id", "parent_evidence_id").distinct()
+    own = narrow.where(F.col("parent_evidence_id").isNotNull())
+    # One row per id, so that a parent of many meets them without gathering anywhere.
+    parents = narrow.groupBy(F.col("evidence_id").alias("parent_evidence_id")).agg(F.min("document_id").alias("low"), F.max("document_id").alias("high"))
+    met = hot_join(own, parents, ["parent_evidence_id"], "inner")
+    checks = _versions(df, "evidence", ["evidence_id", "document_id", "evidence_type", "location", "content", "provenance"]) | {
+        "evidence id malformed": _malformed(df, "evidence_id", "ev"),
+        "text hash wrong": df.where(digest.isNotNull() & sha.isNotNull() & (digest != sha)),
+        "evidence id ambiguous": repeated(df.withColumn("text", text), "evidence_id", ["document_id", "parent_evidence_id", "text"]),
+        "document dangling": hot_join(narrow.where(F.col("document_id").isNotNull()), documents.select("document_id").distinct(), ["document_id"], "left_anti"),
+        "parent dangling": hot_join(own, parents, ["parent_evidence_id"], "left_anti"),
+        "parent in another document": met.where((F.col("document_id") != F.col("low")) | (F.col("document_id") != F.col("high"))),
+    }
+    if recompute_ids:
+        location = ordered(F.col("location"), df.schema["location"].dataType)
+        checks["evidence id unstable"] = df.where(~F.col("evidence_id").eqNullSafe(stable_id("ev", document_id=F.col("document_id"), evidence_type=F.col("evidence_type"), location=location, content_sha256=sha)))
+        checks["content without payload"] = df.where(payload.isNull())
+    return union(checks, "evidence_id")
+
+
+def relations(df: DataFrame, nodes: DataFrame, recompute_ids: bool = True) -> DataFrame:
+    """Relations whose ends or supporting evidence are missing; nodes: record_type, record_id."""
     ends = {f: df.select("relation_id", F.col(f"{f}.record_type").alias("record_type"), F.col(f"{f}.record_id").alias("record_id")) for f in ("from_ref", "to_ref")}
     known = nodes.distinct()
     checks = {f"{f} missing": rows.where(F.col("record_id").isNull()) for f, rows in ends.items()}
-    checks |= {f"{f} dangling": rows.where(F.col("record_id").isNotNull()).join(known, ["record_type", "record_id"], "left_anti") for f, rows in ends.items()}
+    checks |= {f"{f} of another type": rows.where(~F.coalesce(F.col("record_type").isin("document", "evidence"), F.lit(False))) for f, rows in ends.items()}
+    checks |= {f"{f} dangling": hot_join(rows.where(F.col("record_id").isNotNull()), known, ["record_type", "record_id"], "left_anti") for f, rows in ends.items()}
+    support = df.select("relation_id", F.lit("evidence").alias("record_type"), F.explode("supporting_evidence_ids").alias("record_id")).where(F.col("record_id").isNotNull())
+    checks["supporting evidence dangling"] = hot_join(support, known, ["record_type", "record_id"], "left_anti")
     checks["relation to itself"] = df.where(F.col("from_ref.record_id") == F.col("to_ref.record_id"))
+    checks["relation id malformed"] = _malformed(df, "relation_id", "rel")
+    if recompute_ids:
+        ref = lambda f: ordered(F.col(f), df.schema[f].dataType)
+        parts = {"class": F.col("relation_class"), "type": F.col("relation_type"), "from": ref("from_ref"), "to": ref("to_ref"), "generator": F.col("provenance.generated_by"), "generator_version": F.col("provenance.generator_version")}
+        checks["relation id unstable"] = df.where(~F.col("relation_id").eqNullSafe(stable_id("rel", **parts)))
     return union(checks, "relation_id")
 
 
-def search_units(df: DataFrame) -> DataFrame:
-    """Checks within the units: types, hashes, lengths, sources."""
-    text = F.col("text.search_text")
-    return union(
-        {
-            "unit id malformed": df.where(~F.coalesce(F.col("search_unit_id").rlike("^su_[0-9a-f]{16,64}$"), F.lit(False))),
-            "unit type unknown": df.where(~F.coalesce(F.col("unit_type").isin(UNIT_TYPES), F.lit(False))),
-            "text hash wrong": df.where(F.sha2(text, 256) != F.col("text.sha256")),
-            "char count wrong": df.where(~F.col("text.char_count").eqNullSafe(F.length(text).cast("long"))),
-            "no sources": df.where(F.coalesce(F.size("source_evidence_ids"), F.lit(0)) < 1),
-            "source repeated": df.where(F.size("source_evidence_ids") != F.size(F.array_distinct("source_evidence_ids"))),
-            "header not among sources": df.where(F.size(F.array_except("context.header_evidence_ids", "source_evidence_ids")) > 0),
-        },
-        "search_unit_id",
-    )
+def search_units(df: DataFrame, documents: DataFrame, evidence: DataFrame, recompute_ids: bool = True, builder: str | None = BUILDER) -> DataFrame:
+    """Checks of the units: ids, types, hashes, lengths, sources; documents: document_id; evidence: evidence_id,
+    document_id. builder: the one that every unit must come from, if any."""
+    text, sources = F.col("text.search_text"), F.col("source_evidence_ids")
+    lacking = lambda names: df.where(F.size(F.array_except(names, sources)) > 0)
+    each = df.select("search_unit_id", "document_id", F.explode(sources).alias("evidence_id")).where(F.col("evidence_id").isNotNull())
+    own = evidence.select("evidence_id", "document_id").distinct()
+    checks = {
+        "unit id malformed": _malformed(df, "search_unit_id", "su"),
+        "unit id ambiguous": repeated(df.withColumn("t", text), "search_unit_id", ["document_id", "unit_type", "t"]),
+        "unit type unknown": df.where(~F.coalesce(F.col("unit_type").isin(UNIT_TYPES), F.lit(False))),
+        "text hash wrong": df.where(F.sha2(text, 256) != F.col("text.sha256")),
+        "text empty": df.where(F.coalesce(text, F.lit("")) == ""),
+        "char count wrong": df.where(~F.col("text.char_count").eqNullSafe(F.length(text).cast("long"))),
+        "no sources": df.where(F.coalesce(F.size(sources), F.lit(0)) < 1),
+        "source repeated": df.where(F.size(sources) != F.size(F.array_distinct(sources))),
+        "document dangling": hot_join(df.where(F.col("document_id").isNotNull()).select("search_unit_id", "document_id"), documents.select("document_id").distinct(), ["document_id"], "left_anti"),
+        "source dangling or of another document": hot_join(each, own, ["evidence_id", "document_id"], "left_anti"),
+        "header not among sources": lacking("context.header_evidence_ids"),
+        "heading not among sources": lacking("context.container_heading_evidence_ids"),
+    }
+    if builder:
+        checks["provenance wrong"] = df.where(~F.coalesce((F.col("provenance.builder") == builder) & F.col("provenance.deterministic"), F.lit(False)))
+    if recompute_ids:
+        locator = ordered(F.col("locator"), df.schema["locator"].dataType)
+        identity = stable_id("su", document_id=F.col("document_id"), unit_type=F.col("unit_type"), source_evidence_ids=sources, locator=locator, text_sha256=F.sha2(text, 256), builder=F.col("provenance.builder"), builder_version=F.col("provenance.builder_version"))
+        checks["unit id unstable"] = df.where(~F.col("search_unit_id").eqNullSafe(identity))
+    return union(checks, "search_unit_id")
+
+
+def eval_cases(df: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """Checks of evaluation cases: eval_case_id, record_type, query, relevant_search_unit_ids, provenance (method,
+    generator, generator_version), review (reviewed, source_locations). units: search_unit_id of the index."""
+    relevant = F.col("relevant_search_unit_ids")
+    identity = stable_id("qe", query=F.col("query"), relevant_search_unit_ids=relevant, method=F.col("provenance.method"), generator=F.col("provenance.generator"), generator_version=F.col("provenance.generator_version"))
+    bare = F.forall(relevant, lambda x: F.coalesce(x.rlike("^su_[0-9a-f]{16,64}$"), F.lit(False)))
+    reviewed = F.coalesce(F.col("review.reviewed") & (F.size("review.source_locations") > 0), F.lit(False))
+    checks = {
+        "case id malformed": _malformed(df, "eval_case_id", "qe"),
+        "record type wrong": df.where(~F.col("record_type").eqNullSafe(F.lit("retrieval_eval_case"))),
+        "case id repeated": df.groupBy("eval_case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
+        "query empty": df.where(F.trim(F.coalesce("query", F.lit(""))) == ""),
+        "relevance set empty or repeated": df.where((F.coalesce(F.size(relevant), F.lit(0)) < 1) | (F.size(relevant) != F.size(F.array_distinct(relevant)))),
+        "relevant id malformed": df.where(~F.coalesce(bare, F.lit(True))),
+        "case id unstable": df.where(~F.col("eval_case_id").eqNullSafe(identity)),
+        "review lacks evidence": df.where((F.col("provenance.method") == "human_reviewed") & ~reviewed),
+    }
+    if units is not None:
+        each = df.select("eval_case_id", F.explode(relevant).alias("search_unit_id")).where(F.col("search_unit_id").isNotNull())
+        checks["relevant unit not in the index"] = hot_join(each, units.select("search_unit_id").distinct(), ["search_unit_id"], "left_anti")
+    return union(checks, "eval_case_id")
 
 
 def lexical_index(terms: DataFrame, postings: DataFrame, units: DataFrame) -> DataFrame:
@@ -97,10 +188,11 @@ def lexical_index(terms: DataFrame, postings: DataFrame, units: DataFrame) -> Da
     return union(
         {
             "document frequency wrong": recorded.where(~F.col("document_frequency").eqNullSafe(F.coalesce("n", F.lit(0)).cast("long"))),
-            "posting of a missing unit": postings.join(units.select(F.col("unit_seq").alias("doc_rowid")).distinct(), "doc_rowid", "left_anti"),
+            "posting of a missing unit": hot_join(postings.select("term_id", "doc_rowid"), units.select(F.col("unit_seq").alias("doc_rowid")).distinct(), ["doc_rowid"], "left_anti"),
             "posting repeated": postings.groupBy("term_id", "doc_rowid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
             "frequency not positive": postings.where(F.coalesce("term_frequency", F.lit(0)) <= 0),
-            "term of a posting missing": postings.join(terms.select("term_id").distinct(), "term_id", "left_anti"),
+            # Counted by term before the join, so a common term is one row.
+            "term of a posting missing": counts.join(terms.select("term_id").distinct(), "term_id", "left_anti"),
             "term repeated": terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("term_id").alias("term_id")).where(F.col("n") > 1),
         },
         "term_id",

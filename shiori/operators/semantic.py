@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4_096
+#: Blocks of both sides; the vectors that travel are quadratic in the input over these sizes.
+QUERY_BLOCK = 16_384
 VECTOR_BLOCK = 16_384
 
 
@@ -45,18 +46,24 @@ def _best_of_block(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, dimensions: int = 96) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, dimensions: int = 96, types: DataFrame | None = None, unit_types: list[str] | None = None) -> DataFrame:
     """(query_id, rank, unit_seq, similarity): the top_k vectors by cosine of each query vector.
 
     vectors: unit_seq (unique), vector; queries: query_id, vector. Vectors that are not usable are left
     out on both sides; ties go to the smaller unit_seq. Blocks of queries meet blocks of vectors, so no
-    task holds more than one of each, and only each block's best leave it.
+    task holds more than one of each, and only each block's best leave it. With unit_types, only vectors of
+    units of these types are searched; types: unit_seq, unit_type.
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
+    if unit_types is not None:
+        allowed = types.where(F.col("unit_type").isin(unit_types)).select("unit_seq").distinct()
+        vectors = vectors.join(allowed, "unit_seq", "left_semi")
     vectors = usable(vectors.select(F.col("unit_seq").alias("unit_seq"), F.col("vector").alias("vector")), dimensions)
     queries = usable(queries.select(F.col("query_id").alias("query_id"), F.col("vector").alias("vector")), dimensions)
-    blocks, groups = max(1, ceil(vectors.count() / VECTOR_BLOCK)), max(1, ceil(queries.count() / QUERY_BLOCK))
+    parallel = vectors.sparkSession.sparkContext.defaultParallelism
+    size = vectors.count()
+    blocks, groups = max(1, ceil(size / VECTOR_BLOCK), min(parallel, size // 1_024)), max(1, ceil(queries.count() / QUERY_BLOCK))
     left = queries.select("query_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = vectors.select(F.col("unit_seq").alias("unit"), F.col("vector").alias("given"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("of"), F.pmod(F.xxhash64("unit_seq"), F.lit(blocks)).cast("int").alias("part"))
     kind = dict(queries.dtypes)["query_id"]

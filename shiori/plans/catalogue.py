@@ -119,6 +119,14 @@ def semantic_topk(spark: SparkSession, folder: str) -> DataFrame:
     return semantic.search(vectors, queries, 10, DIMENSIONS).select("query_id", "rank", "unit_seq", F.round("similarity", 6).alias("similarity"))
 
 
+def semantic_type_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """semantic_topk among table rows alone; the queries stay all."""
+    vectors = cut(_vectors(spark, folder))
+    queries = vectors.where(F.col("unit_seq") % 20 == 0).select(F.col("unit_seq").alias("query_id"), "vector")
+    types = records.units(spark, folder).select("unit_seq", "unit_type")
+    return semantic.search(vectors, queries, 10, DIMENSIONS, types, ["table_row"]).select("query_id", "rank", "unit_seq", F.round("similarity", 6).alias("similarity"))
+
+
 def embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("unit_seq"), F.col("embedding").alias("vector"))
     queries = vectors.where(F.col("unit_seq") % 20 == 0).select(F.col("unit_seq").alias("query_id"), "vector")
@@ -363,7 +371,7 @@ def violations_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def violations_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.evidence(table(spark, folder, "evidence", "evidence_id", "document_id", "parent_evidence_id", "content"), payload_hash=False)
+    return quality.evidence(table(spark, folder, "evidence"), table(spark, folder, "source_documents", "document_id"), payload_hash=False, recompute_ids=False)
 
 
 def violations_relations(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,7 +380,7 @@ def violations_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def violations_units(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.search_units(table(spark, folder, "search_units"))
+    return quality.search_units(table(spark, folder, "search_units"), table(spark, folder, "source_documents", "document_id"), table(spark, folder, "evidence", "evidence_id", "document_id"), recompute_ids=False, builder="build_search_units")
 
 
 def violations_lexical(spark: SparkSession, folder: str) -> DataFrame:
@@ -432,7 +440,7 @@ def plain_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = [
     tokenize_units, tokenize_documents, unit_postings, term_stats, corpus_stats, unit_counts, self_eval_cases, bm25_search, bm25_type_filter, bm25_rerank,
-    semantic_topk, embedding_topk, hybrid_rrf, hybrid_adaptive, retrieval_outcomes, retrieval_metrics, missing_targets, remap_targets, sliding_chunks, legacy_search,
+    semantic_topk, semantic_type_filter, embedding_topk, hybrid_rrf, hybrid_adaptive, retrieval_outcomes, retrieval_metrics, missing_targets, remap_targets, sliding_chunks, legacy_search,
     context_budget, glossary_expand, paragraph_chunks, table_row_units, slide_units, page_units, derived_units, containment_edges, content_hashes, cell_positions,
     display_values, field_values, snippets, leaf_sample, round_robin_sample, chart_groupby, chart_points, chart_tables, chart_axis, colour_bins, colour_clusters,
     diagnose_answers, answer_categories, submission_check, submission_longest, violations_documents, violations_evidence, violations_relations, violations_units,

@@ -301,6 +301,11 @@ def _checks(key: str, parts: dict[str, str], extra: str = "") -> str:
     return f"""WITH {extra}found AS ({" UNION ALL ".join(rows)}) SELECT DISTINCT "check", record_id FROM found"""
 
 
+def _json(name: str, column: str) -> str:
+    """A member of a canonical JSON object; null where the value is."""
+    return f"""'"{name}":' || CAST(to_json({column}) AS VARCHAR)"""
+
+
 _TOP10 = "row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 8) DESC, unit_seq) AS r"
 
 SQL = {
@@ -320,6 +325,9 @@ FROM (SELECT *, {_TOP10} FROM scored WHERE unit_seq IN (SELECT unit_seq FROM uni
   md5(CASE WHEN length(search_text) > 500 THEN substring(search_text, 1, 500) || '…' ELSE search_text END) AS snippet_md5 FROM hits""",
     "semantic_topk": f"""WITH {_VECTORS} SELECT query_id, CAST(r AS INTEGER) AS rank, unit_seq, round(s, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, unit_seq) AS r FROM (SELECT q.unit_seq AS query_id, w.unit_seq, array_cosine_similarity(q.v, w.v) AS s FROM vectors q, vectors w WHERE q.unit_seq % 20 = 0)) WHERE r <= 10""",
+    "semantic_type_filter": f"""WITH {_VECTORS} SELECT query_id, CAST(r AS INTEGER) AS rank, unit_seq, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, unit_seq) AS r FROM (SELECT q.unit_seq AS query_id, w.unit_seq, array_cosine_similarity(q.v, w.v) AS s FROM vectors q, vectors w
+    WHERE q.unit_seq % 20 = 0 AND w.unit_seq IN (SELECT unit_seq FROM search_units WHERE unit_type = 'table_row' AND search_unit_id IS NOT NULL))) WHERE r <= 10""",
     "embedding_topk": """WITH rows AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings) SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, round(s, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, w.vec_id, array_cosine_similarity(q.v, w.v) AS s FROM rows q, rows w WHERE q.vec_id % 20 = 0)) WHERE r <= 5""",
     "hybrid_rrf": _fusion(False),
@@ -373,33 +381,51 @@ UNION ALL SELECT position, 'answer empty' FROM given WHERE trim(answer) = '' UNI
     "submission_longest": """WITH given AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS index, strlen(CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 13 = 0 THEN repeat(o_orderpriority, 200) ELSE o_orderpriority END) AS n FROM orders WHERE o_orderkey % 97 <> 0)
 SELECT CAST(n AS INTEGER) AS most_bytes, index FROM given ORDER BY n DESC, index LIMIT 1""",
     "violations_documents": _checks("document_id", {
+        "schema version or record type wrong": "SELECT * FROM docs WHERE version IS DISTINCT FROM '0.1' OR kind IS DISTINCT FROM 'document'",
+        "required field missing": "SELECT * FROM docs WHERE document_id IS NULL OR no_source OR no_extraction",
+        "document id unstable": "SELECT * FROM docs WHERE document_id IS DISTINCT FROM 'doc_' || substring(sha256('{' || concat_ws(',', '\"relative_path\":' || CAST(to_json(path) AS VARCHAR), '\"source_sha256\":' || CAST(to_json(sha) AS VARCHAR)) || '}'), 1, 32)",
         "document id malformed": "SELECT * FROM docs WHERE NOT coalesce(regexp_full_match(document_id, 'doc_[0-9a-f]{16,64}'), false)",
         "status unknown": "SELECT * FROM docs WHERE NOT coalesce(status IN ('pending', 'success', 'partial', 'deferred', 'failed'), false)",
         "document id ambiguous": "SELECT document_id FROM docs GROUP BY document_id HAVING count(DISTINCT path) > 1",
-    }, "docs AS MATERIALIZED (SELECT document_id, extraction.status AS status, source.relative_path AS path FROM source_documents), "),
+    }, "docs AS MATERIALIZED (SELECT document_id, extraction.status AS status, source.relative_path AS path, source.sha256 AS sha, schema_version AS version, record_type AS kind, source IS NULL AS no_source, extraction IS NULL AS no_extraction FROM source_documents), "),
     "violations_evidence": _checks("evidence_id", {
+        "schema version or record type wrong": "SELECT * FROM ev WHERE version IS DISTINCT FROM '0.1' OR kind IS DISTINCT FROM 'evidence'",
+        "required field missing": "SELECT * FROM ev WHERE evidence_id IS NULL OR document_id IS NULL OR lacking",
+        "document dangling": "SELECT * FROM ev WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM source_documents WHERE document_id IS NOT NULL)",
+        "parent dangling": "SELECT * FROM ev WHERE parent_evidence_id IS NOT NULL AND parent_evidence_id NOT IN (SELECT evidence_id FROM ev WHERE evidence_id IS NOT NULL)",
         "evidence id malformed": "SELECT * FROM ev WHERE NOT coalesce(regexp_full_match(evidence_id, 'ev_[0-9a-f]{16,64}'), false)",
         "text hash wrong": "SELECT * FROM ev WHERE sha256(raw_text) <> sha",
         "evidence id ambiguous": "SELECT evidence_id FROM (SELECT DISTINCT evidence_id, document_id, parent_evidence_id, raw_text FROM ev) GROUP BY evidence_id HAVING count(*) > 1",
         "parent in another document": "SELECT a.evidence_id FROM ev a JOIN ev b ON b.evidence_id = a.parent_evidence_id WHERE a.document_id <> b.document_id",
-    }, "ev AS MATERIALIZED (SELECT evidence_id, document_id, parent_evidence_id, content.raw_text AS raw_text, content.sha256 AS sha FROM evidence), "),
+    }, "ev AS MATERIALIZED (SELECT evidence_id, document_id, parent_evidence_id, content.raw_text AS raw_text, content.sha256 AS sha, schema_version AS version, record_type AS kind, evidence_type IS NULL OR location IS NULL OR content IS NULL OR provenance IS NULL AS lacking FROM evidence), "),
     "violations_relations": _checks("relation_id", {
         "from_ref missing": "SELECT * FROM rel WHERE f IS NULL",
         "to_ref missing": "SELECT * FROM rel WHERE t IS NULL",
         "from_ref dangling": "SELECT * FROM rel WHERE f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes WHERE k = ft AND id = f)",
         "to_ref dangling": "SELECT * FROM rel WHERE t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes WHERE k = tt AND id = t)",
+        "from_ref of another type": "SELECT * FROM rel WHERE NOT coalesce(ft IN ('document', 'evidence'), false)",
+        "to_ref of another type": "SELECT * FROM rel WHERE NOT coalesce(tt IN ('document', 'evidence'), false)",
+        "supporting evidence dangling": "SELECT relation_id FROM (SELECT relation_id, unnest(support) AS e FROM rel) WHERE e IS NOT NULL AND e NOT IN (SELECT id FROM nodes WHERE k = 'evidence' AND id IS NOT NULL)",
+        "relation id unstable": f"SELECT * FROM rel WHERE relation_id IS DISTINCT FROM 'rel_' || substring(sha256('{{' || concat_ws(',', {_json('class', 'class')}, '\"from\":{{' || concat_ws(',', {_json('record_id', 'f')}, {_json('record_type', 'ft')}) || '}}', {_json('generator', 'made_by')}, {_json('generator_version', 'made_version')}, '\"to\":{{' || concat_ws(',', {_json('record_id', 't')}, {_json('record_type', 'tt')}) || '}}', {_json('type', 'kind')}) || '}}'), 1, 32)",
+        "relation id malformed": "SELECT * FROM rel WHERE NOT coalesce(regexp_full_match(relation_id, 'rel_[0-9a-f]{16,64}'), false)",
         "relation to itself": "SELECT * FROM rel WHERE f = t",
-    }, """rel AS MATERIALIZED (SELECT relation_id, from_ref.record_id AS f, from_ref.record_type AS ft, to_ref.record_id AS t, to_ref.record_type AS tt FROM relation),
+    }, """rel AS MATERIALIZED (SELECT relation_id, from_ref.record_id AS f, from_ref.record_type AS ft, to_ref.record_id AS t, to_ref.record_type AS tt, supporting_evidence_ids AS support, relation_class AS class, relation_type AS kind, provenance.generated_by AS made_by, provenance.generator_version AS made_version FROM relation),
 nodes AS MATERIALIZED (SELECT DISTINCT 'document' AS k, document_id AS id FROM source_documents UNION SELECT 'evidence', evidence_id FROM evidence), """),
     "violations_units": _checks("search_unit_id", {
         "unit id malformed": "SELECT * FROM u WHERE NOT coalesce(regexp_full_match(search_unit_id, 'su_[0-9a-f]{16,64}'), false)",
+        "unit id ambiguous": "SELECT search_unit_id FROM (SELECT DISTINCT search_unit_id, document_id, unit_type, t FROM u) GROUP BY search_unit_id HAVING count(*) > 1",
+        "text empty": "SELECT * FROM u WHERE coalesce(t, '') = ''",
+        "document dangling": "SELECT * FROM u WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM source_documents WHERE document_id IS NOT NULL)",
+        "source dangling or of another document": "SELECT * FROM (SELECT search_unit_id, document_id, unnest(source_evidence_ids) AS e FROM u) x WHERE e IS NOT NULL AND NOT EXISTS (SELECT 1 FROM evidence v WHERE v.evidence_id = x.e AND v.document_id = x.document_id)",
+        "heading not among sources": "SELECT * FROM u WHERE NOT list_has_all(source_evidence_ids, ch)",
+        "provenance wrong": "SELECT * FROM u WHERE builder IS DISTINCT FROM 'build_search_units' OR deterministic IS DISTINCT FROM true",
         "unit type unknown": "SELECT * FROM u WHERE NOT coalesce(unit_type IN ('paragraph_chunk', 'table_row', 'slide_text', 'page_text'), false)",
         "text hash wrong": "SELECT * FROM u WHERE sha256(t) <> sha",
         "char count wrong": "SELECT * FROM u WHERE n IS DISTINCT FROM length(t)",
         "no sources": "SELECT * FROM u WHERE coalesce(len(source_evidence_ids), 0) < 1",
         "source repeated": "SELECT * FROM u WHERE len(source_evidence_ids) <> len(list_distinct(source_evidence_ids))",
         "header not among sources": "SELECT * FROM u WHERE NOT list_has_all(source_evidence_ids, h)",
-    }, "u AS MATERIALIZED (SELECT search_unit_id, unit_type, text.search_text AS t, text.sha256 AS sha, text.char_count AS n, source_evidence_ids, context.header_evidence_ids AS h FROM search_units), "),
+    }, "u AS MATERIALIZED (SELECT search_unit_id, document_id, provenance.builder AS builder, provenance.deterministic AS deterministic, context.container_heading_evidence_ids AS ch, unit_type, text.search_text AS t, text.sha256 AS sha, text.char_count AS n, source_evidence_ids, context.header_evidence_ids AS h FROM search_units), "),
     "violations_lexical": _checks("term_id", {
         "document frequency wrong": "SELECT t.term_id FROM terms t LEFT JOIN (SELECT term_id, count(*) AS n FROM postings GROUP BY term_id) p ON p.term_id = t.term_id WHERE document_frequency IS DISTINCT FROM coalesce(n, 0)",
         "posting of a missing unit": "SELECT term_id FROM postings WHERE doc_rowid NOT IN (SELECT unit_seq FROM search_units WHERE unit_seq IS NOT NULL)",
