@@ -155,3 +155,72 @@ def source_candidates(cells: DataFrame, files: DataFrame) -> DataFrame:
     candidate = F.concat(F.lit("cs_"), F.substring(F.sha2(F.concat_ws("\0", "path", "location", "image"), 256), 1, 24))
     joined = each.withColumn("name", F.element_at(F.split("image", "/"), -1)).join(names, "name", "left").drop("name")
     return joined.select(candidate.alias("candidate_id"), *joined.columns).dropDuplicates(["candidate_id"])
+
+
+# The statements of a notebook from which a chart of counts and means is told.
+PATH_SET = r"(\w+)\s*=\s*Path\([\"']([^\"']+)[\"']\)"
+TEXT_SET = r"(target_col|date_col_hint)\s*=\s*[\"']([^\"']+)[\"']"
+COUNTS = r"agg\s*=\s*tmp\.groupby\((\w+|[\"'][^\"']+[\"'])\)\.agg\(([^=,()]+)=\((\w+|[\"'][^\"']+[\"'])\s*,\s*[\"']size[\"']\)\)"
+MEANS = r"agg\[[\"']([^\"']+)[\"']\]\s*=\s*tmp\.groupby\((\w+|[\"'][^\"']+[\"'])\)\[(\w+|[\"'][^\"']+[\"'])\]\.mean\(\)"
+PLOTTED = r"ax\w*\.plot\(([^\n]+)\)"
+PLOTTED_LABEL = r"agg\[[\"']([^\"']+)[\"']\]"
+MARKER, COLOUR = r"marker\s*=\s*[\"']([^\"']+)[\"']", r"color\s*=\s*[\"']([^\"']+)[\"']"
+TITLE = r"set_title\(f?[\"']([^\"']+)[\"']\)"
+
+
+def chart_code(cells: DataFrame) -> DataFrame:
+    """Charts of counts and means by group, read from notebook cells (path, location, source) without running them.
+
+    (path, location, x, target, count_label, mean_label, title, styles, data): names given as variables are
+    looked up among the notebook's assignments; x may stay null where it can't be. A notebook in which not
+    exactly one cell counts by group gives no row. styles: label -> marker and colour of its plot.
+    """
+    src = F.col("source")
+    first = lambda pattern, k: F.nullif(F.regexp_extract(src, pattern, k), F.lit(""))
+    pairs = lambda pattern: F.arrays_zip(F.regexp_extract_all(src, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(src, F.lit(pattern), F.lit(2)).alias("v"))
+    kept = cells.where(src.isNotNull())
+    names = kept.select("path", "location", F.explode(pairs(TEXT_SET)).alias("a"), F.lit("text").alias("kind")).unionByName(kept.select("path", "location", F.explode(pairs(PATH_SET)).alias("a"), F.lit("data").alias("kind")))
+    last = names.groupBy("path", "kind", F.col("a.k").alias("k")).agg(F.max_by(F.col("a.v"), F.col("location")).alias("v"))
+    known = last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.when(F.col("kind") == "text", F.struct("k", "v")))).alias("texts"), F.array_sort(F.collect_set(F.when((F.col("kind") == "data") & F.col("v").rlike(r"(?i)\.csv$"), F.col("v")))).alias("data"))
+    plots = F.transform(F.regexp_extract_all(src, F.lit(PLOTTED), F.lit(1)), lambda a: F.struct(F.regexp_extract(a, PLOTTED_LABEL, 1).alias("label"), F.nullif(F.regexp_extract(a, MARKER, 1), F.lit("")).alias("marker"), F.nullif(F.regexp_extract(a, COLOUR, 1), F.lit("")).alias("colour")))
+    found = kept.where(src.rlike(COUNTS)).select("path", "location", first(COUNTS, 1).alias("x_token"), F.trim(first(COUNTS, 2)).alias("count_label"), first(COUNTS, 3).alias("target_token"), first(MEANS, 1).alias("mean_label"), first(TITLE, 1).alias("title"), F.filter(plots, lambda p: p["label"] != "").alias("styles"))
+    one = found.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select("path")
+    rows = found.join(one, "path", "left_semi").join(known, "path", "left")
+    value = lambda token: F.when(F.col(token).rlike("^[\"']"), unquote(F.col(token))).otherwise(F.coalesce(F.element_at("texts", F.col(token)), F.when(F.col(token) == "used_col", F.element_at("texts", F.lit("date_col_hint")))))
+    x = value("x_token")
+    return rows.select("path", "location", x.alias("x"), value("target_token").alias("target"), "count_label", "mean_label", F.replace(F.col("title"), F.lit("{used_col}"), F.coalesce(x, F.lit("{used_col}"))).alias("title"), "styles", F.coalesce("data", F.array().cast("array<string>")).alias("data"))
+
+
+def whole_numbers(x: Column) -> Column:
+    """A number as text, whole ones without a fraction."""
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def chart_records(assembled: DataFrame, sources: DataFrame) -> DataFrame:
+    """assemble()'s rows as chart tables: id, type, axes, points with status and completeness checks.
+
+    sources: chart_id, chart_path, chart_sha256, code_path, code_sha256, data_path, data_sha256, x_label, title.
+    The id is the hash of the three files, so that any change of theirs makes another chart.
+    """
+    rows = assembled.join(sources, "chart_id")
+    identity = F.sha2(F.concat_ws("\0", "chart_sha256", "code_sha256", "data_sha256"), 256)
+    series = F.transform("series", lambda s, k: F.struct(
+        F.concat(F.lit("series_"), (k + 1).cast("string")).alias("series_id"), s["series_id"].alias("label"), F.when(k == 0, "y_left").otherwise("y_right").alias("axis_id"),
+        F.transform(s["points"], lambda p: F.struct(whole_numbers(p["x"].cast("double")).alias("x"), p["y"].cast("double").alias("y"), F.when(p["y"].isNull(), "unresolved").otherwise("exact").alias("status"))).alias("points")))
+    axis = lambda name, label: F.struct(F.lit(name).alias("axis_id"), label.alias("label"))
+    labels = F.transform("series", lambda s: s["series_id"])
+    axes = F.concat(F.array(axis("x", F.col("x_label")), axis("y_left", F.get(labels, F.lit(0)))), F.when(F.col("n_series") > 1, F.array(axis("y_right", F.get(labels, F.lit(1))))).otherwise(F.array().cast("array<struct<axis_id:string,label:string>>")))
+    complete = F.forall("series", lambda s: F.size(s["points"]) == F.size("x_values"))
+    return rows.select(
+        F.concat(F.lit("ct_"), F.substring(identity, 1, 24)).alias("chart_table_id"),
+        F.when(F.col("n_series") > 1, "multi_axis_line").otherwise("line").alias("chart_type"),
+        "title",
+        axes.alias("axes"),
+        F.transform("x_values", lambda x: whole_numbers(x.cast("double"))).alias("x_values"),
+        series.alias("series"),
+        F.when(complete, "verified").otherwise("partial").alias("status"),
+        F.col("n_series").alias("detected_series_count"),
+        F.size("series").alias("output_series_count"),
+        F.size("x_values").alias("expected_points_per_series"),
+        F.struct("chart_path", "chart_sha256", "code_path", "code_sha256", "data_path", "data_sha256").alias("provenance"),
+    )

@@ -219,7 +219,7 @@ def search_units(evidence: DataFrame, target_chars: int = TARGET_CHARS) -> DataF
 
     search_unit_id is content-addressed, so the same evidence gives the same ids in every run.
     """
-    rows = events(evidence)
+    rows = cut(events(evidence))  # each kind of unit reads it again
     columns = ["document_id", "unit_type", "source_evidence_ids", "locator", "search_text", "last_seq"]
     parts = [paragraph_chunks(rows, target_chars), table_rows(rows), slide_texts(rows), page_texts(rows)]
     units = parts[0].select(columns)

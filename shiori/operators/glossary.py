@@ -9,6 +9,31 @@ from ..functions.text import split_alternatives, strip
 from .containment import contains
 
 MIN_ASCII, MIN_OTHER = 2, 2
+# What the heads of a glossary's columns contain.
+ALIAS_HEADS = ["社内用語", "略称", "主略称", "略号"]
+CANONICAL_HEADS = ["正式名称", "案件名", "正式"]
+OTHER_HEADS = ["別名", "別名候補"]
+
+
+def pairs_of_tables(tables: DataFrame) -> DataFrame:
+    """(alias, canonical, ord) cells of the tables that are glossaries: their first row names a column of aliases
+    and one of canonical names; a column of other names counts as aliases too.
+
+    tables: table_id, row_no, cells (array of strings, first row the head). Rows too short for either column
+    are passed over; tables of one row hold nothing.
+    """
+
+    def column(heads: list[str]):
+        return F.array_position(F.transform("cells", lambda c: F.exists(F.array(*[F.lit(h) for h in heads]), lambda h: F.contains(F.coalesce(c, F.lit("")), h))), True)
+
+    first = tables.groupBy("table_id").agg(F.min("row_no").alias("row_no"))
+    heads = tables.join(first, ["table_id", "row_no"]).select("table_id", F.col("row_no").alias("head_no"), column(ALIAS_HEADS).alias("a"), column(CANONICAL_HEADS).alias("c"), column(OTHER_HEADS).alias("o"))
+    rows = tables.join(heads.where((F.col("a") > 0) & (F.col("c") > 0)), "table_id").where(F.col("row_no") > F.col("head_no"))
+    rows = rows.where(F.size("cells") >= F.greatest("a", "c"))
+    cell = lambda at: F.get("cells", F.col(at).cast("int") - 1)
+    other = F.when(F.col("o") > 0, cell("o"))
+    each = rows.select("table_id", "row_no", cell("c").alias("canonical"), F.posexplode(F.array(cell("a"), other)).alias("k", "alias")).where(F.col("alias").isNotNull())
+    return each.select("alias", "canonical", F.concat_ws("/", "table_id", F.lpad(F.col("row_no").cast("string"), 9, "0"), F.col("k").cast("string")).alias("ord"))
 
 
 def build(pairs: DataFrame) -> DataFrame:

@@ -236,6 +236,30 @@ def chart_tables(long: DataFrame) -> DataFrame:
     )
 
 
+def chart_records(df: DataFrame) -> DataFrame:
+    """Checks of chart tables as charts.chart_records() makes them: id, axes, series, points, provenance."""
+    shas = [F.col(f"provenance.{n}") for n in ("chart_sha256", "code_sha256", "data_sha256")]
+    axes = F.transform("axes", lambda a: a["axis_id"])
+    lacking = F.lit(False)
+    for sha in shas:
+        lacking = lacking | ~F.coalesce(sha.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    points = F.flatten(F.transform("series", lambda s: s["points"]))
+    return union(
+        {
+            "chart id malformed": df.where(~F.coalesce(F.col("chart_table_id").rlike("^ct_[0-9a-f]{24}$"), F.lit(False))),
+            "chart id unstable": df.where(~F.col("chart_table_id").eqNullSafe(F.concat(F.lit("ct_"), F.substring(F.sha2(F.concat_ws("\0", *shas), 256), 1, 24)))),
+            "provenance hash malformed": df.where(lacking),
+            "axis missing or repeated": df.where(~F.array_contains(axes, "x") | ~F.array_contains(axes, "y_left") | (F.size(axes) != F.size(F.array_distinct(axes)))),
+            "series on an unknown axis": df.where(F.exists("series", lambda s: ~F.array_contains(axes, s["axis_id"]))),
+            "series count wrong": df.where((F.col("detected_series_count") != F.col("output_series_count")) | (F.col("output_series_count") != F.size("series"))),
+            "points missing": df.where(F.exists("series", lambda s: ~F.transform(s["points"], lambda p: p["x"]).eqNullSafe(F.col("x_values")))),
+            "unresolved with a value": df.where(F.exists(points, lambda p: (p["status"] == "unresolved") & p["y"].isNotNull())),
+            "exact without a value": df.where(F.exists(points, lambda p: (p["status"] == "exact") & p["y"].isNull())),
+        },
+        "chart_table_id",
+    )
+
+
 def visual_analyses(df: DataFrame) -> DataFrame:
     """df: analysis_id, stage outputs transcription, visual_state, fusion (JSON strings), status, retry_count."""
     stages = ["transcription", "visual_state", "fusion"]
