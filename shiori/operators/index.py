@@ -70,8 +70,8 @@ class LexicalIndex:
         return both.select(F.col("p.terms").alias("term"), "unit_seq", F.col("p.tfs").alias("term_frequency"))
 
 
-def term_lists(units: DataFrame, kind: str = "a", text: str = "search_text", key: str = "unit_seq") -> DataFrame:
-    """(key, terms, tfs) of units that have any token: the distinct tokens and how often each occurs."""
+def term_lists(units: DataFrame, kind: str = "a", text: str = "search_text", key: str = "unit_seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, terms, tfs, columns to keep) of units that have any token: the distinct tokens and how often each occurs."""
     tokens = script_run_tokens if kind == "a" else word_pair_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +82,11 @@ def term_lists(units: DataFrame, kind: str = "a", text: str = "search_text", key
                 some = pa.array([k for k, c in enumerate(counted) if c], pa.int64())
                 terms = pa.array([list(c) for c in counted if c], pa.list_(pa.string()))
                 tfs = pa.array([list(c.values()) for c in counted if c], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(some), terms, tfs], names=[key, "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(some), terms, tfs, *[part.column(2 + k).take(some) for k in range(len(keep))]], names=[key, "terms", "tfs", *keep])
 
-    return units.select(key, text).mapInArrow(run, f"{key} {dict(units.dtypes)[key]}, terms array<string>, tfs array<long>")
+    kinds = dict(units.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
+    return units.select(key, text, *keep).mapInArrow(run, f"{key} {kinds[key]}, terms array<string>, tfs array<long>{more}")
 
 
 def build(units: DataFrame, kind: str = "a") -> LexicalIndex:

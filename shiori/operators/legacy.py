@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import compatible, compatible_lower, strip, tokens_b
 from ..session import cut
 from .containment import contains, find_all
-from .index import LexicalIndex, build, inverse_document_frequency
+from .index import LexicalIndex, inverse_document_frequency, of_parts, term_lists
 from .scoring import top_scores
 
 K1, B, TOP_K = 1.5, 0.75, 12
@@ -53,10 +51,10 @@ def project_tokens(projects: DataFrame) -> DataFrame:
 
 def chunk_index(chunks: DataFrame) -> LexicalIndex:
     """Index of chunks (cid unique, path, project, filename, location, text), with what the boosts read."""
-    units = chunks.withColumn("unit_seq", F.col("cid")).withColumn("search_text", index_text(chunks))
-    index = build(units, "b")
-    about = index.documents.select("unit_seq", "project", F.coalesce(compatible_lower("filename"), F.lit("")).alias("file"), F.coalesce(is_stub(F.col("text")), F.lit(False)).alias("stub"))
-    return replace(index, forward=cut(index.forward.join(about, "unit_seq")))
+    documents = cut(chunks.withColumn("unit_seq", F.col("cid")))
+    about = [index_text(documents).alias("search_text"), F.coalesce(compatible_lower("filename"), F.lit("")).alias("file"), F.coalesce(is_stub(F.col("text")), F.lit(False)).alias("stub")]
+    forward = term_lists(documents.select("unit_seq", "project", *about), "b", keep=("project", "file", "stub"))
+    return of_parts(cut(forward), documents, "b")
 
 
 def _boosts(queries: pa.Table, units: pa.Table):

@@ -60,11 +60,23 @@ def _best_of_block(k: int, k1: float, b: float, average: float, larger_first: bo
         first = np.cumsum(count) - count
         bounds = np.searchsorted(query, np.arange(queries.num_rows + 1))
         factors = boost(queries, units) if boost else None
+        held_pairs = np.sort(unit * len(terms) + place[known])
+
+        def shared(q: np.ndarray, u: np.ndarray) -> np.ndarray:
+            """How many terms each pair of a query and a unit shares."""
+            n = bounds[q + 1] - bounds[q]
+            pair = np.repeat(np.arange(len(q)), n)
+            term = code[np.arange(n.sum()) + np.repeat(bounds[q] - np.cumsum(n) + n, n)]
+            wanted = u[pair] * len(terms) + term
+            at = np.minimum(np.searchsorted(held_pairs, wanted), max(len(held_pairs) - 1, 0))
+            met = held_pairs[at] == wanted if len(held_pairs) else np.zeros(len(wanted), bool)
+            return np.bincount(pair[met], minlength=len(q))
+
         step, out = max(1, CELLS // n_units), []
         for low in range(0, queries.num_rows, step):
             high = min(low + step, queries.num_rows)
             cells = (high - low) * n_units
-            score, matched = np.zeros(cells), np.zeros(cells, np.int64)
+            score = np.zeros(cells)
             at = bounds[low]
             while at < bounds[high]:
                 # So many query terms as have some millions of matches.
@@ -74,18 +86,17 @@ def _best_of_block(k: int, k1: float, b: float, average: float, larger_first: bo
                 here = np.repeat(first[code[at:to]] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 cell = np.repeat((query[at:to] - low) * n_units, n) + unit[here]
                 score += np.bincount(cell, np.repeat(factor[at:to], n) * weight[here], cells)
-                matched += np.bincount(cell, minlength=cells)
                 at = to
-            base, matched = score.reshape(-1, n_units), matched.reshape(-1, n_units)
+            base = score.reshape(-1, n_units)
             final = base * factors(low, high) if factors else base
-            order = np.where(matched > 0, rounded(final), -np.inf)
+            order = np.where(base > 0, rounded(final), -np.inf)  # weights are positive
             least = np.partition(order, n_units - k, axis=1)[:, n_units - k] if n_units > k else np.full(high - low, -np.inf)
-            q, u = np.nonzero((order >= least[:, None]) & (matched > 0))
+            q, u = np.nonzero((order >= least[:, None]) & (base > 0))
             turn = np.lexsort((-ids[u] if larger_first else ids[u], -order[q, u], q))
             q, u = q[turn], u[turn]
             nth = np.arange(len(q)) - np.searchsorted(q, q)
             q, u = q[nth < k], u[nth < k]
-            out.append((low + q, ids[u], final[q, u], base[q, u], matched[q, u]))
+            out.append((low + q, ids[u], final[q, u], base[q, u], shared(low + q, u)))
         q, *rest = (np.concatenate(x) for x in zip(*out))
         return pa.table([queries.column("query_id").take(pa.array(q)).combine_chunks().cast(kinds[0]), *[pa.array(x, t) for x, t in zip(rest, kinds[1:])]], names=names)
 

@@ -51,8 +51,7 @@ def unit_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str, name: str, make):
-    """A table's lexical index: written with a manifest at its first use in a session, read back and checked
-    at each use."""
+    """A table's lexical index: at its first use in a session written with a manifest, read back and checked."""
     source = fingerprint(spark, f"{folder}/{name}.parquet")
 
     def write() -> str:
@@ -61,7 +60,7 @@ def _stored(spark: SparkSession, folder: str, name: str, make):
         return path
 
     kind = "a" if name == "search_units" else "b"
-    return indexes.read_lexical(spark, remembered(spark, f"{name} {source}", write), kind, source)
+    return remembered(spark, f"{name} {source}", lambda: indexes.read_lexical(spark, write(), kind, source))
 
 
 def _unit_index(spark: SparkSession, folder: str) -> index.LexicalIndex:

@@ -242,7 +242,7 @@ flow AS (SELECT *, CASE WHEN kind = 'c' THEN container || '/' || row_no END AS r
 started AS (SELECT *, kind = 'c' AND row_key IS DISTINCT FROM lag(row_key) OVER (PARTITION BY document_id ORDER BY seq, evidence_id) AS starts FROM flow),
 numbered AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY seq, evidence_id ROWS UNBOUNDED PRECEDING) AS run FROM started),
 table_lines AS MATERIALIZED (
-  SELECT document_id, container, row_no, run, list({{'c': column_no, 'l': label, 'v': value, 'e': evidence_id}} ORDER BY column_no, seq, evidence_id) AS cells
+  SELECT document_id, container, row_no, run, list({{'c': column_no, 'l': label, 'v': value, 'e': evidence_id}} ORDER BY column_no, seq, evidence_id) AS cells, any_value(sheet_name) AS sheet, any_value(table_index) AS tbl, any_value(slide_number) AS slide, any_value(shape_id) AS shape
   FROM numbered WHERE kind = 'c' GROUP BY ALL HAVING count(*) FILTER (value <> '') > 0
 ),
 heads AS (SELECT document_id, container, min(run) AS head, arg_min(cells, run) AS head_cells FROM table_lines GROUP BY ALL),
@@ -260,23 +260,23 @@ labelled AS (
 lettered AS (SELECT *, list_transform(cells, lambda x: {{'v': x.v, 'e': x.e, 't': coalesce(list_last(list_filter(named, lambda h: h.c = x.c)).v, x.l)}}) AS shown FROM labelled)"""
 
 
-def _grouped(kind: str, number: str, breaks: str, prefix: str) -> str:
-    return f"""WITH {_EVIDENCE},
-mine AS (SELECT *, kind = '{kind}' AND value <> '' AND {number} IS NOT NULL AS is_mine FROM events),
-flow AS (SELECT *, is_mine AND ((lag(kind) OVER w) IS NULL OR (lag(kind) OVER w) <> '{kind}' OR (lag({number}) OVER w) IS DISTINCT FROM {number}) AS starts FROM mine WHERE is_mine OR kind IN ({breaks}) WINDOW w AS (PARTITION BY document_id ORDER BY seq, evidence_id)),
-numbered AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY seq, evidence_id ROWS UNBOUNDED PRECEDING) AS run FROM flow)
-SELECT document_id, string_agg(evidence_id, ',' ORDER BY seq, evidence_id) AS sources, {prefix} || {strip("string_agg(value, chr(10) || chr(10) ORDER BY seq, evidence_id)")} AS search_text
-FROM numbered WHERE is_mine GROUP BY document_id, run, {number}"""
+def _grouped(kind: str, number: str, breaks: str, prefix: str, name: str = "") -> str:
+    """Units of runs of events; with a name, as parts of a WITH that come after the evidence's."""
+    parts = f"""mine{name} AS (SELECT *, kind = '{kind}' AND value <> '' AND {number} IS NOT NULL AS is_mine FROM events),
+flow{name} AS (SELECT *, is_mine AND ((lag(kind) OVER w) IS NULL OR (lag(kind) OVER w) <> '{kind}' OR (lag({number}) OVER w) IS DISTINCT FROM {number}) AS starts FROM mine{name} WHERE is_mine OR kind IN ({breaks}) WINDOW w AS (PARTITION BY document_id ORDER BY seq, evidence_id)),
+numbered{name} AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY seq, evidence_id ROWS UNBOUNDED PRECEDING) AS run FROM flow{name}),
+units{name} AS (SELECT document_id, list(evidence_id ORDER BY seq, evidence_id) AS ids, {prefix} || {strip("string_agg(value, chr(10) || chr(10) ORDER BY seq, evidence_id)")} AS search_text, {number} AS number
+  FROM numbered{name} WHERE is_mine GROUP BY document_id, run, {number})"""
+    return parts if name else f"WITH {_EVIDENCE}, {parts} SELECT document_id, array_to_string(ids, ',') AS sources, search_text FROM units"
 
 
-_PACKED = f"""WITH RECURSIVE {_EVIDENCE},
-flow AS (
-  SELECT *, last_value(CASE WHEN evidence_type = 'heading' THEN {{'e': evidence_id, 'v': value}} END IGNORE NULLS) OVER w AS heading,
+_PACKED_PARTS = f"""passages AS (
+  SELECT *, last_value(CASE WHEN evidence_type = 'heading' THEN {{'e': evidence_id, 'v': value, 'i': paragraph_index}} END IGNORE NULLS) OVER w AS heading,
     coalesce(sum(CASE WHEN kind IN ('t', 'c', 'g') OR evidence_type = 'heading' THEN 1 ELSE 0 END) OVER w, 0) AS section
   FROM events WHERE kind IN ('t', 'c', 'g') OR (kind = 'p' AND value <> '') WINDOW w AS (PARTITION BY document_id ORDER BY seq, evidence_id ROWS UNBOUNDED PRECEDING)
 ),
 paragraphs AS MATERIALIZED (
-  SELECT document_id, section, evidence_id, value, heading, length(value) AS size, length(heading.v) AS hsize, row_number() OVER (PARTITION BY document_id, section ORDER BY seq, evidence_id) AS n FROM flow WHERE kind = 'p'
+  SELECT document_id, section, evidence_id, value, heading, length(value) AS size, length(heading.v) AS hsize, paragraph_index, row_number() OVER (PARTITION BY document_id, section ORDER BY seq, evidence_id) AS n FROM passages WHERE kind = 'p'
 ),
 fold AS (
   SELECT document_id, section, n, 0 AS chunk, false AS again, size AS total, 1 AS cnt FROM paragraphs WHERE n = 1
@@ -286,10 +286,37 @@ fold AS (
   FROM (SELECT f.*, p.size AS s, p.hsize AS h, CASE WHEN f.total + p.size + 2 * f.cnt > 1200 THEN 1 ELSE 0 END AS over_ FROM fold f JOIN paragraphs p ON p.document_id = f.document_id AND p.section = f.section AND p.n = f.n + 1)
 ),
 grouped AS (
-  SELECT p.document_id, p.section, chunk, again, string_agg(p.evidence_id, ',' ORDER BY n) AS ids, string_agg(value, chr(10) || chr(10) ORDER BY n) AS body, arg_max(heading, n) AS heading
+  SELECT p.document_id, p.section, chunk, again, list(p.evidence_id ORDER BY n) AS ids, string_agg(value, chr(10) || chr(10) ORDER BY n) AS body, arg_max(heading, n) AS heading, min(paragraph_index) AS low, max(paragraph_index) AS high
   FROM paragraphs p JOIN fold f USING (document_id, section, n) GROUP BY p.document_id, p.section, chunk, again
-)
-SELECT document_id, CASE WHEN again THEN heading.e || ',' ELSE '' END || ids AS sources, {strip("(CASE WHEN again THEN heading.v || chr(10) || chr(10) ELSE '' END || body)")} AS search_text FROM grouped"""
+),
+packed AS (SELECT document_id, CASE WHEN again THEN list_prepend(heading.e, ids) ELSE ids END AS ids, CASE WHEN again THEN least(low, heading.i) ELSE low END AS low, CASE WHEN again THEN greatest(high, heading.i) ELSE high END AS high, {strip("(CASE WHEN again THEN heading.v || chr(10) || chr(10) ELSE '' END || body)")} AS search_text FROM grouped)"""
+_PACKED = f"WITH RECURSIVE {_EVIDENCE}, {_PACKED_PARTS} SELECT document_id, array_to_string(ids, ',') AS sources, search_text FROM packed"
+
+# One unit per run of cells: its sources and text.
+_ROW_IDS = "list_concat(CASE WHEN section <> '' THEN [heading.e] ELSE [] END, list_concat(list_transform(named, lambda h: h.e), list_transform(list_filter(cells, lambda x: x.v <> ''), lambda x: x.e)))"
+_ROW_TEXT = "CASE WHEN section <> '' THEN 'セクション: ' || section || chr(10) ELSE '' END || array_to_string(list_transform(list_filter(shown, lambda x: x.v <> ''), lambda x: x.t || ': ' || x.v), chr(10))"
+
+
+def _member(name: str, column: str) -> str:
+    """A member of a canonical JSON object; null where the value is."""
+    return f"""'"{name}":' || CAST(to_json({column}) AS VARCHAR)"""
+
+
+def _object(**members: str) -> str:
+    """A canonical JSON object of columns."""
+    return "'{' || concat_ws(',', " + ", ".join(_member(k, members[k]) for k in sorted(members)) + ") || '}'"
+
+
+_DERIVED = f"""{_ROWS}, {_PACKED_PARTS}, {_grouped("s", "slide_number", "'g'", "'コンテナ種別: スライド' || chr(10)", "_s")}, {_grouped("g", "page_number", "''", "''", "_g")},
+every AS (
+  SELECT document_id, 'paragraph_chunk' AS unit_type, ids, search_text, {_object(paragraph_start="low", paragraph_end="high")} AS locator FROM packed
+  UNION ALL SELECT document_id, 'table_row', list_filter({_ROW_IDS}, lambda x, i: list_position({_ROW_IDS}, x) = i), {_ROW_TEXT},
+    {_object(row_index="row_no", sheet_name="CASE WHEN starts_with(container, 'sheet/') THEN sheet END", table_index="CASE WHEN starts_with(container, 'table/') THEN tbl END", slide_number="CASE WHEN NOT starts_with(container, 'sheet/') THEN slide END", shape_id="CASE WHEN NOT starts_with(container, 'sheet/') THEN shape END")} FROM lettered
+  UNION ALL SELECT document_id, 'slide_text', ids, search_text, {_object(slide_number="number")} FROM units_s
+  UNION ALL SELECT document_id, 'page_text', ids, search_text, {_object(page_number="number")} FROM units_g
+),
+hashed AS (SELECT *, sha256(search_text) AS sha256 FROM every WHERE search_text <> ''),
+derived AS MATERIALIZED (SELECT 'su_' || substring(sha256('{{' || concat_ws(',', '"builder":"search-unit-builder"', '"builder_version":"0.2.0"', {_member("document_id", "document_id")}, '"locator":' || locator, {_member("source_evidence_ids", "ids")}, {_member("text_sha256", "sha256")}, {_member("unit_type", "unit_type")}) || '}}'), 1, 32) AS search_unit_id, * FROM hashed)"""
 
 _DAYS = "days AS (SELECT try_cast(strftime(ts, '%-d') AS DOUBLE) AS x, event_type, value FROM events)"
 _PIXELS = """pixels AS (SELECT l_returnflag AS image, CAST(l_orderkey % 256 AS INTEGER) AS r, CAST(l_partkey * 7 % 256 AS INTEGER) AS g, CAST(l_suppkey * 13 % 256 AS INTEGER) AS b FROM lineitem),
@@ -301,11 +328,6 @@ def _checks(key: str, parts: dict[str, str], extra: str = "") -> str:
     return f"""WITH {extra}found AS ({" UNION ALL ".join(rows)}) SELECT DISTINCT "check", record_id FROM found"""
 
 
-def _json(name: str, column: str) -> str:
-    """A member of a canonical JSON object; null where the value is."""
-    return f"""'"{name}":' || CAST(to_json({column}) AS VARCHAR)"""
-
-
 _TOP10 = "row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 8) DESC, unit_seq) AS r"
 
 SQL = {
@@ -349,11 +371,14 @@ SELECT doc_id AS query_id, CASE WHEN explained IS NULL THEN query ELSE query ||
   coalesce(array_to_string(list_filter(canons, lambda c, i: list_position(canons, c) = i), ','), '') AS names FROM lines LEFT JOIN listed USING (doc_id)""",
     "paragraph_chunks": _PACKED,
     "table_row_units": f"""WITH {_ROWS} SELECT document_id,
-  array_to_string(list_concat(CASE WHEN section <> '' THEN [heading.e] ELSE [] END, list_concat(list_transform(named, lambda h: h.e), list_transform(list_filter(cells, lambda x: x.v <> ''), lambda x: x.e))), ',') AS sources,
-  CASE WHEN section <> '' THEN 'セクション: ' || section || chr(10) ELSE '' END || array_to_string(list_transform(list_filter(shown, lambda x: x.v <> ''), lambda x: x.t || ': ' || x.v), chr(10)) AS search_text,
+  array_to_string({_ROW_IDS}, ',') AS sources, {_ROW_TEXT} AS search_text,
   is_head AS is_header_candidate, CASE WHEN NOT is_head THEN array_to_string(list_transform(shown, lambda x: x.t), '|') END AS header_labels FROM lettered""",
     "slide_units": _grouped("s", "slide_number", "'g'", "'コンテナ種別: スライド' || chr(10)"),
     "page_units": _grouped("g", "page_number", "''", "''"),
+    "derived_units": f"WITH RECURSIVE {_DERIVED} SELECT search_unit_id, document_id, unit_type, sha256, CAST(length(search_text) AS BIGINT) AS char_count FROM derived",
+    "remap_targets": f"""WITH RECURSIVE {_UNITS}, {_DERIVED},
+made AS (SELECT document_id, unit_type, search_text, count(DISTINCT search_unit_id) AS n FROM derived GROUP BY ALL)
+SELECT u.search_unit_id AS relevant_id, coalesce(n, 0) AS n_candidates, coalesce(n, 0) = 1 AS found FROM units u LEFT JOIN made m ON m.document_id IS NOT DISTINCT FROM u.document_id AND m.unit_type IS NOT DISTINCT FROM u.unit_type AND m.search_text IS NOT DISTINCT FROM u.search_text""",
     "containment_edges": """SELECT 'rel_' || substring(sha256('{"class":"structural","from":{"record_id":' || CAST(to_json(from_id) AS VARCHAR) || ',"record_type":"' || from_type || '"},"generator":"intermediate-extractor","generator_version":"0.4.0","to":{"record_id":' || CAST(to_json(to_id) AS VARCHAR) || ',"record_type":"evidence"},"type":"contains"}'), 1, 32) AS relation_id, from_type, from_id, to_id
 FROM (SELECT DISTINCT CASE WHEN parent_evidence_id IS NOT NULL THEN 'evidence' ELSE 'document' END AS from_type, coalesce(parent_evidence_id, document_id) AS from_id, evidence_id AS to_id FROM evidence) WHERE from_id IS NOT NULL""",
     "content_hashes": """SELECT DISTINCT evidence_id, sha256('{"raw_text":' || CAST(to_json(raw_text) AS VARCHAR) || '}') AS content_sha256,
@@ -406,7 +431,7 @@ SELECT CAST(n AS INTEGER) AS most_bytes, index FROM given ORDER BY n DESC, index
         "from_ref of another type": "SELECT * FROM rel WHERE NOT coalesce(ft IN ('document', 'evidence'), false)",
         "to_ref of another type": "SELECT * FROM rel WHERE NOT coalesce(tt IN ('document', 'evidence'), false)",
         "supporting evidence dangling": "SELECT relation_id FROM (SELECT relation_id, unnest(support) AS e FROM rel) WHERE e IS NOT NULL AND e NOT IN (SELECT id FROM nodes WHERE k = 'evidence' AND id IS NOT NULL)",
-        "relation id unstable": f"SELECT * FROM rel WHERE relation_id IS DISTINCT FROM 'rel_' || substring(sha256('{{' || concat_ws(',', {_json('class', 'class')}, '\"from\":{{' || concat_ws(',', {_json('record_id', 'f')}, {_json('record_type', 'ft')}) || '}}', {_json('generator', 'made_by')}, {_json('generator_version', 'made_version')}, '\"to\":{{' || concat_ws(',', {_json('record_id', 't')}, {_json('record_type', 'tt')}) || '}}', {_json('type', 'kind')}) || '}}'), 1, 32)",
+        "relation id unstable": f"SELECT * FROM rel WHERE relation_id IS DISTINCT FROM 'rel_' || substring(sha256('{{' || concat_ws(',', {_member('class', 'class')}, '\"from\":{{' || concat_ws(',', {_member('record_id', 'f')}, {_member('record_type', 'ft')}) || '}}', {_member('generator', 'made_by')}, {_member('generator_version', 'made_version')}, '\"to\":{{' || concat_ws(',', {_member('record_id', 't')}, {_member('record_type', 'tt')}) || '}}', {_member('type', 'kind')}) || '}}'), 1, 32)",
         "relation id malformed": "SELECT * FROM rel WHERE NOT coalesce(regexp_full_match(relation_id, 'rel_[0-9a-f]{16,64}'), false)",
         "relation to itself": "SELECT * FROM rel WHERE f = t",
     }, """rel AS MATERIALIZED (SELECT relation_id, from_ref.record_id AS f, from_ref.record_type AS ft, to_ref.record_id AS t, to_ref.record_type AS tt, supporting_evidence_ids AS support, relation_class AS class, relation_type AS kind, provenance.generated_by AS made_by, provenance.generator_version AS made_version FROM relation),
