@@ -325,7 +325,8 @@ def colour_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def colour_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return charts.colour_clusters(charts.colour_bins(_pixels(spark, folder), ["image"]), "image")
+    found = charts.colour_clusters(charts.colour_bins(_pixels(spark, folder), ["image"]), "image")
+    return found.select("image", "cluster_no", *[F.round(c, 6).alias(c) for c in "rgb"], "weight")
 
 
 def _answered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -323,6 +323,29 @@ _PIXELS = """pixels AS (SELECT l_returnflag AS image, CAST(l_orderkey % 256 AS I
 spread AS (SELECT *, greatest(r, g, b) AS high, least(r, g, b) AS low FROM pixels)"""
 
 
+def _hue(r: str, g: str, b: str) -> str:
+    """Hue in degrees of a colour."""
+    high, low = f"greatest({r}, {g}, {b})", f"least({r}, {g}, {b})"
+    part = lambda x: f"(({high} - {x}) / CAST({high} - {low} AS DOUBLE))"
+    turn = f"CASE WHEN {r} = {high} THEN {part(b)} - {part(g)} WHEN {g} = {high} THEN 2 + {part(r)} - {part(b)} ELSE 4 + {part(g)} - {part(r)} END"
+    return f"CASE WHEN {high} = {low} THEN 0.0 ELSE 60 * (({turn}) - 6 * floor(({turn}) / 6.0)) END"
+
+
+_HUES = f"""bins AS (SELECT image, CAST(r // 32 * 32 + 16 AS DOUBLE) AS r, CAST(g // 32 * 32 + 16 AS DOUBLE) AS g, CAST(b // 32 * 32 + 16 AS DOUBLE) AS b, count(*) AS n FROM spread
+  WHERE high - low >= 40 AND (high - low) / greatest(high, 1) >= 0.2 AND (r + g + b) / 3 BETWEEN 35 AND 245 GROUP BY ALL),
+queue AS MATERIALIZED (SELECT *, {_hue("r", "g", "b")} AS h, row_number() OVER (PARTITION BY image ORDER BY n DESC, r, g, b) AS k FROM bins WHERE n >= 24),
+fold AS (
+  SELECT image, 1 AS k, [{{'r': r, 'g': g, 'b': b, 'n': n, 'h': h}}] AS found FROM queue WHERE k = 1
+  UNION ALL
+  SELECT image, k, CASE WHEN spot IS NULL THEN list_append(found, {{'r': r, 'g': g, 'b': b, 'n': n, 'h': h}})
+    ELSE list_transform(found, lambda c, i: CASE WHEN i <> spot THEN c ELSE {{'r': mr, 'g': mg, 'b': mb, 'n': m, 'h': {_hue("mr", "mg", "mb")}}} END) END
+  FROM (SELECT *, found[spot].n + n AS m, (found[spot].r * found[spot].n + r * n) / (found[spot].n + n) AS mr, (found[spot].g * found[spot].n + g * n) / (found[spot].n + n) AS mg, (found[spot].b * found[spot].n + b * n) / (found[spot].n + n) AS mb
+    FROM (SELECT f.image, q.k, f.found, q.r, q.g, q.b, q.n, q.h, list_position(list_transform(f.found, lambda c: least(abs(c.h - q.h), 360 - abs(c.h - q.h)) <= 18.0), true) AS spot FROM fold f JOIN queue q ON q.image = f.image AND q.k = f.k + 1))
+),
+merged AS (SELECT image, unnest(arg_max(found, k)) AS c FROM fold GROUP BY image),
+placed AS (SELECT image, c.r AS r, c.g AS g, c.b AS b, c.n AS n, max(c.n) OVER (PARTITION BY image) AS most FROM merged)"""
+
+
 def _checks(key: str, parts: dict[str, str], extra: str = "") -> str:
     rows = [f"""SELECT '{name}' AS "check", CAST({key} AS VARCHAR) AS record_id FROM ({query})""" for name, query in parts.items()]
     return f"""WITH {extra}found AS ({" UNION ALL ".join(rows)}) SELECT DISTINCT "check", record_id FROM found"""
@@ -396,6 +419,7 @@ SELECT 'events' AS chart_id, (SELECT count(*) FROM series) AS n_series, CAST((SE
     "chart_axis": f"WITH {_DAYS} SELECT event_type, count(x) > 0 AND min(x) >= 1 AND max(x) <= 31 AS is_day FROM days GROUP BY event_type",
     "colour_bins": f"""WITH {_PIXELS} SELECT image, CAST(r // 32 * 32 + 16 AS INTEGER) AS qr, CAST(g // 32 * 32 + 16 AS INTEGER) AS qg, CAST(b // 32 * 32 + 16 AS INTEGER) AS qb, count(*) AS n FROM spread
 WHERE high - low >= 40 AND (high - low) / greatest(high, 1) >= 0.2 AND (r + g + b) / 3 BETWEEN 35 AND 245 GROUP BY ALL""",
+    "colour_clusters": f"""WITH RECURSIVE {_PIXELS}, {_HUES} SELECT * FROM (SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY n DESC) - 1 AS INTEGER) AS cluster_no, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, CAST(n AS BIGINT) AS weight FROM placed WHERE n >= 0.35 * most) WHERE cluster_no < 6""",
     "diagnose_answers": f"WITH {_ANSWERS} SELECT query_id, in_corpus, in_top, automatic, automatic AS category FROM diagnosed",
     "answer_categories": f"WITH {_ANSWERS} SELECT automatic AS category, count(*) AS n_questions, count(*) FILTER (starts_with(predicted, 'わかりません')) AS n_abstained FROM diagnosed GROUP BY automatic",
     "submission_check": """WITH given AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS index,
