@@ -23,6 +23,7 @@ TARGET_CHARS = 1_200
 # The names that enter the units' ids, and the words of their texts.
 BUILDER, BUILDER_VERSION = "search-unit-builder", "0.2.0"
 SECTION, SLIDE = "セクション: ", "コンテナ種別: スライド\n"
+HEADER_METHOD = "first_non_empty_row_candidate"
 
 ORDER = ["seq", "evidence_id"]
 
@@ -84,6 +85,12 @@ def _locator(**fields: Column) -> Column:
     return F.struct(*[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
 
 
+def _context(**fields: Column) -> Column:
+    """What surrounds a unit; keys that aren't given are null."""
+    kinds = {"heading_text": "string", "container_kind": "string", "container_heading_text": "string", "container_heading_evidence_ids": "array<string>", "header_labels": "array<string>", "header_evidence_ids": "array<string>", "header_method": "string", "is_header_candidate": "boolean"}
+    return F.struct(*[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+
+
 def table_rows(rows: DataFrame) -> DataFrame:
     """One unit per run of cells of one row, labelled by its container's first populated row.
 
@@ -109,7 +116,7 @@ def table_rows(rows: DataFrame) -> DataFrame:
     marks = rows.where((F.col("kind") == "t") | is_heading).select("document_id", *ORDER, "kind", "evidence_type", "value", "table_index", "slide_number", "shape_id")
     headings = running_last(marks, "document_id", ORDER, {"heading": (is_heading, F.struct("evidence_id", "value"))})
     table = F.when(F.col("table_index").isNotNull(), _key(F.lit("table"), "slide_number", "shape_id", "table_index")).when(F.col("slide_number").isNotNull() & F.col("shape_id").isNotNull(), _key(F.lit("slide_table"), "slide_number", "shape_id"))
-    above = headings.where(F.col("kind") == "t").withColumn("container", table).where(F.col("container").isNotNull()).groupBy("document_id", "container").agg(F.max_by("heading", _place()).alias("heading"))
+    above = headings.where(F.col("kind") == "t").withColumn("container", table).where(F.col("container").isNotNull()).groupBy("document_id", "container").agg(F.max_by("heading", _place()).alias("heading"), F.lit("table").alias("container_kind"))
     context = cut(heads.join(above, ["document_id", "container"], "left"))
     full = hot_join(each, context, ["document_id", "container"])
     is_head = F.col("head_run") == F.col("run")
@@ -127,13 +134,25 @@ def table_rows(rows: DataFrame) -> DataFrame:
         slide_number=F.when(~in_sheet, F.col("slide_number")),
         shape_id=F.when(~in_sheet, F.col("shape_id")),
     )
+    labels = F.when(~is_head, F.transform("cells", of_column))
+    titled = F.col("heading.value") != ""
+    about = _context(
+        container_kind=F.col("container_kind"),
+        container_heading_text=F.when(titled, F.col("heading.value")),
+        container_heading_evidence_ids=F.when(titled, F.array("heading.evidence_id")),
+        header_labels=labels,
+        header_evidence_ids=F.when(~is_head, F.col("head_ids")),
+        header_method=F.lit(HEADER_METHOD),
+        is_header_candidate=is_head,
+    )
     return full.select(
         "document_id",
         F.lit("table_row").alias("unit_type"),
         ids.alias("source_evidence_ids"),
         locator.alias("locator"),
         F.array_join(F.concat(section, lines), "\n").alias("search_text"),
-        F.when(~is_head, F.transform("cells", of_column)).alias("header_labels"),
+        about.alias("context"),
+        labels.alias("header_labels"),
         is_head.alias("is_header_candidate"),
         F.element_at("cells", -1)["seq"].alias("last_seq"),
     )
@@ -189,7 +208,7 @@ def paragraph_chunks(rows: DataFrame, target_chars: int = TARGET_CHARS) -> DataF
         F.transform("items", lambda x: x["evidence_id"]).alias("source_evidence_ids"),
         _locator(paragraph_start=F.array_min(index), paragraph_end=F.array_max(index)).alias("locator"),
         strip(F.array_join(F.transform("items", lambda x: x["value"]), "\n\n")).alias("search_text"),
-        F.col("heading.value").alias("heading_text"),
+        _context(heading_text=F.nullif(F.col("heading.value"), F.lit(""))).alias("context"),
         F.element_at("items", -1)["seq"].alias("last_seq"),
     )
 
@@ -202,7 +221,7 @@ def _texts_of(rows: DataFrame, kind: str, number: str, unit_type: str, prefix: s
     runs = running_last(flow, "document_id", ORDER, {"run": (starts, _place())}).where(mine)
     each = runs.groupBy("document_id", "run", number).agg(F.array_sort(F.collect_list(F.struct("seq", "evidence_id", "value"))).alias("items"))
     body = strip(F.array_join(F.transform("items", lambda x: x["value"]), "\n\n"))
-    return each.select("document_id", F.lit(unit_type).alias("unit_type"), F.transform("items", lambda x: x["evidence_id"]).alias("source_evidence_ids"), _locator(**{number: F.col(number)}).alias("locator"), F.concat(F.lit(prefix), body).alias("search_text"), F.element_at("items", -1)["seq"].alias("last_seq"))
+    return each.select("document_id", F.lit(unit_type).alias("unit_type"), F.transform("items", lambda x: x["evidence_id"]).alias("source_evidence_ids"), _locator(**{number: F.col(number)}).alias("locator"), F.concat(F.lit(prefix), body).alias("search_text"), _context().alias("context"), F.element_at("items", -1)["seq"].alias("last_seq"))
 
 
 def slide_texts(rows: DataFrame) -> DataFrame:
@@ -220,14 +239,14 @@ def search_units(evidence: DataFrame, target_chars: int = TARGET_CHARS) -> DataF
     search_unit_id is content-addressed, so the same evidence gives the same ids in every run.
     """
     rows = cut(events(evidence))  # each kind of unit reads it again
-    columns = ["document_id", "unit_type", "source_evidence_ids", "locator", "search_text", "last_seq"]
+    columns = ["document_id", "unit_type", "source_evidence_ids", "locator", "search_text", "context", "last_seq"]
     parts = [paragraph_chunks(rows, target_chars), table_rows(rows), slide_texts(rows), page_texts(rows)]
     units = parts[0].select(columns)
     for part in parts[1:]:
         units = units.unionByName(part.select(columns))
     units = units.where(F.col("search_text") != "").withColumn("sha256", F.sha2("search_text", 256))
     unit_id = stable_id("su", document_id=F.col("document_id"), unit_type=F.col("unit_type"), source_evidence_ids=F.col("source_evidence_ids"), locator=F.col("locator"), text_sha256=F.col("sha256"), builder=F.lit(BUILDER), builder_version=F.lit(BUILDER_VERSION))
-    return units.select(unit_id.alias("search_unit_id"), "document_id", "unit_type", "source_evidence_ids", "locator", "search_text", "sha256", F.length("search_text").cast("long").alias("char_count"), "last_seq")
+    return units.select(unit_id.alias("search_unit_id"), "document_id", "unit_type", "source_evidence_ids", "locator", "search_text", "context", "sha256", F.length("search_text").cast("long").alias("char_count"), "last_seq")
 
 
 def sliding_chunks(sections: DataFrame, size: int = 1_400, overlap: int = 200) -> DataFrame:

@@ -248,6 +248,14 @@ def derived_units(spark: SparkSession, folder: str) -> DataFrame:
     return units.select("search_unit_id", "document_id", "unit_type", "sha256", "char_count")
 
 
+def unit_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """What surrounds each derived unit: its headings, container and header."""
+    units = derive.search_units(records.evidence(spark, folder))
+    c = lambda name: F.col(f"context.{name}")
+    lists = {"container_heading_evidence_ids": ",", "header_labels": "|", "header_evidence_ids": ","}
+    return units.select("search_unit_id", *[c(k).alias(k) for k in ("heading_text", "container_kind", "container_heading_text", "header_method", "is_header_candidate")], *[F.array_join(c(k), s).alias(k) for k, s in lists.items()])
+
+
 def containment_edges(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "evidence", "evidence_id", "document_id", "parent_evidence_id").distinct()
     return derive.containment_edges(rows).select("relation_id", "from_type", "from_id", "to_id")
@@ -441,7 +449,7 @@ def plain_answers(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = [
     tokenize_units, tokenize_documents, unit_postings, term_stats, corpus_stats, unit_counts, self_eval_cases, bm25_search, bm25_type_filter, bm25_rerank,
     semantic_topk, semantic_type_filter, embedding_topk, hybrid_rrf, hybrid_adaptive, retrieval_outcomes, retrieval_metrics, missing_targets, remap_targets, sliding_chunks, legacy_search,
-    context_budget, glossary_expand, paragraph_chunks, table_row_units, slide_units, page_units, derived_units, containment_edges, content_hashes, cell_positions,
+    context_budget, glossary_expand, paragraph_chunks, table_row_units, slide_units, page_units, derived_units, unit_contexts, containment_edges, content_hashes, cell_positions,
     display_values, field_values, snippets, leaf_sample, round_robin_sample, chart_groupby, chart_points, chart_tables, chart_axis, colour_bins, colour_clusters,
     diagnose_answers, answer_categories, submission_check, submission_longest, violations_documents, violations_evidence, violations_relations, violations_units,
     violations_lexical, violations_semantic, document_status, event_windows, coverage_counts, incremental_pending, mined_dates, password_candidates, path_projects, plain_answers,

@@ -251,7 +251,7 @@ headings AS (
 ),
 above AS (
   SELECT document_id, CASE WHEN table_index IS NOT NULL THEN concat_ws('/', 'table', coalesce(CAST(slide_number AS VARCHAR), ''), coalesce(shape_id, ''), CAST(table_index AS VARCHAR)) ELSE concat_ws('/', 'slide_table', CAST(slide_number AS VARCHAR), shape_id) END AS container,
-    arg_max(heading, (seq, evidence_id)) AS heading FROM headings WHERE kind = 't' AND (table_index IS NOT NULL OR (slide_number IS NOT NULL AND shape_id IS NOT NULL)) GROUP BY ALL
+    arg_max(heading, (seq, evidence_id)) AS heading, 'table' AS ck FROM headings WHERE kind = 't' AND (table_index IS NOT NULL OR (slide_number IS NOT NULL AND shape_id IS NOT NULL)) GROUP BY ALL
 ),
 labelled AS (
   SELECT *, run = head AS is_head, coalesce(heading.v, '') AS section, CASE WHEN run = head THEN [] ELSE list_filter(head_cells, lambda x: x.v <> '') END AS named
@@ -289,7 +289,7 @@ grouped AS (
   SELECT p.document_id, p.section, chunk, again, list(p.evidence_id ORDER BY n) AS ids, string_agg(value, chr(10) || chr(10) ORDER BY n) AS body, arg_max(heading, n) AS heading, min(paragraph_index) AS low, max(paragraph_index) AS high
   FROM paragraphs p JOIN fold f USING (document_id, section, n) GROUP BY p.document_id, p.section, chunk, again
 ),
-packed AS (SELECT document_id, CASE WHEN again THEN list_prepend(heading.e, ids) ELSE ids END AS ids, CASE WHEN again THEN least(low, heading.i) ELSE low END AS low, CASE WHEN again THEN greatest(high, heading.i) ELSE high END AS high, {strip("(CASE WHEN again THEN heading.v || chr(10) || chr(10) ELSE '' END || body)")} AS search_text FROM grouped)"""
+packed AS (SELECT document_id, CASE WHEN again THEN list_prepend(heading.e, ids) ELSE ids END AS ids, CASE WHEN again THEN least(low, heading.i) ELSE low END AS low, CASE WHEN again THEN greatest(high, heading.i) ELSE high END AS high, nullif(heading.v, '') AS above, {strip("(CASE WHEN again THEN heading.v || chr(10) || chr(10) ELSE '' END || body)")} AS search_text FROM grouped)"""
 _PACKED = f"WITH RECURSIVE {_EVIDENCE}, {_PACKED_PARTS} SELECT document_id, array_to_string(ids, ',') AS sources, search_text FROM packed"
 
 # One unit per run of cells: its sources and text.
@@ -309,11 +309,12 @@ def _object(**members: str) -> str:
 
 _DERIVED = f"""{_ROWS}, {_PACKED_PARTS}, {_grouped("s", "slide_number", "'g'", "'コンテナ種別: スライド' || chr(10)", "_s")}, {_grouped("g", "page_number", "''", "''", "_g")},
 every AS (
-  SELECT document_id, 'paragraph_chunk' AS unit_type, ids, search_text, {_object(paragraph_start="low", paragraph_end="high")} AS locator FROM packed
+  SELECT document_id, 'paragraph_chunk' AS unit_type, ids, search_text, {_object(paragraph_start="low", paragraph_end="high")} AS locator, above, NULL AS ck, NULL AS title, NULL AS title_id, NULL AS labels, NULL AS head_ids, CAST(NULL AS BOOLEAN) AS is_head FROM packed
   UNION ALL SELECT document_id, 'table_row', list_filter({_ROW_IDS}, lambda x, i: list_position({_ROW_IDS}, x) = i), {_ROW_TEXT},
-    {_object(row_index="row_no", sheet_name="CASE WHEN starts_with(container, 'sheet/') THEN sheet END", table_index="CASE WHEN starts_with(container, 'table/') THEN tbl END", slide_number="CASE WHEN NOT starts_with(container, 'sheet/') THEN slide END", shape_id="CASE WHEN NOT starts_with(container, 'sheet/') THEN shape END")} FROM lettered
-  UNION ALL SELECT document_id, 'slide_text', ids, search_text, {_object(slide_number="number")} FROM units_s
-  UNION ALL SELECT document_id, 'page_text', ids, search_text, {_object(page_number="number")} FROM units_g
+    {_object(row_index="row_no", sheet_name="CASE WHEN starts_with(container, 'sheet/') THEN sheet END", table_index="CASE WHEN starts_with(container, 'table/') THEN tbl END", slide_number="CASE WHEN NOT starts_with(container, 'sheet/') THEN slide END", shape_id="CASE WHEN NOT starts_with(container, 'sheet/') THEN shape END")},
+    NULL, ck, CASE WHEN section <> '' THEN section END, CASE WHEN section <> '' THEN heading.e END, CASE WHEN NOT is_head THEN array_to_string(list_transform(shown, lambda x: x.t), '|') END, CASE WHEN NOT is_head THEN array_to_string(list_transform(named, lambda h: h.e), ',') END, is_head FROM lettered
+  UNION ALL SELECT document_id, 'slide_text', ids, search_text, {_object(slide_number="number")}, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM units_s
+  UNION ALL SELECT document_id, 'page_text', ids, search_text, {_object(page_number="number")}, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM units_g
 ),
 hashed AS (SELECT *, sha256(search_text) AS sha256 FROM every WHERE search_text <> ''),
 derived AS MATERIALIZED (SELECT 'su_' || substring(sha256('{{' || concat_ws(',', '"builder":"search-unit-builder"', '"builder_version":"0.2.0"', {_member("document_id", "document_id")}, '"locator":' || locator, {_member("source_evidence_ids", "ids")}, {_member("text_sha256", "sha256")}, {_member("unit_type", "unit_type")}) || '}}'), 1, 32) AS search_unit_id, * FROM hashed)"""
@@ -402,6 +403,8 @@ SELECT doc_id AS query_id, CASE WHEN explained IS NULL THEN query ELSE query ||
     "remap_targets": f"""WITH RECURSIVE {_UNITS}, {_DERIVED},
 made AS (SELECT document_id, unit_type, search_text, count(DISTINCT search_unit_id) AS n FROM derived GROUP BY ALL)
 SELECT u.search_unit_id AS relevant_id, coalesce(n, 0) AS n_candidates, coalesce(n, 0) = 1 AS found FROM units u LEFT JOIN made m ON m.document_id IS NOT DISTINCT FROM u.document_id AND m.unit_type IS NOT DISTINCT FROM u.unit_type AND m.search_text IS NOT DISTINCT FROM u.search_text""",
+    "unit_contexts": f"""WITH RECURSIVE {_DERIVED} SELECT search_unit_id, above AS heading_text, ck AS container_kind, title AS container_heading_text, CASE WHEN unit_type = 'table_row' THEN 'first_non_empty_row_candidate' END AS header_method, is_head AS is_header_candidate,
+  title_id AS container_heading_evidence_ids, labels AS header_labels, head_ids AS header_evidence_ids FROM derived""",
     "containment_edges": """SELECT 'rel_' || substring(sha256('{"class":"structural","from":{"record_id":' || CAST(to_json(from_id) AS VARCHAR) || ',"record_type":"' || from_type || '"},"generator":"intermediate-extractor","generator_version":"0.4.0","to":{"record_id":' || CAST(to_json(to_id) AS VARCHAR) || ',"record_type":"evidence"},"type":"contains"}'), 1, 32) AS relation_id, from_type, from_id, to_id
 FROM (SELECT DISTINCT CASE WHEN parent_evidence_id IS NOT NULL THEN 'evidence' ELSE 'document' END AS from_type, coalesce(parent_evidence_id, document_id) AS from_id, evidence_id AS to_id FROM evidence) WHERE from_id IS NOT NULL""",
     "content_hashes": """SELECT DISTINCT evidence_id, sha256('{"raw_text":' || CAST(to_json(raw_text) AS VARCHAR) || '}') AS content_sha256,

@@ -32,7 +32,7 @@ def test_packing(spark):
 
 def test_second_chunk_starts_at_the_heading(spark):
     units = derive.paragraph_chunks(evidence(spark, p("H", "heading", paragraph_index=1), p("a" * 60, paragraph_index=2), p("b" * 60, paragraph_index=3)), 100).orderBy("last_seq").collect()
-    assert [(u["locator"]["paragraph_start"], u["locator"]["paragraph_end"], u["heading_text"]) for u in units] == [(1, 2, "H"), (1, 3, "H")]
+    assert [(u["locator"]["paragraph_start"], u["locator"]["paragraph_end"], u["context"]["heading_text"]) for u in units] == [(1, 2, "H"), (1, 3, "H")]
 
 
 def cell(ref, text, **more):
