@@ -25,7 +25,7 @@ BLOCK = 4_096
 RARE_UNITS = 2
 COMMON_SHARE = 0.15
 
-_ARRAYS = "block long, occurrences array<long>, units array<long>"
+_ARRAYS = "block long, places array<int>, occurrences array<long>, units array<long>"
 
 
 @F.pandas_udf(StringType())
@@ -81,8 +81,14 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _arrays(block: int, total: np.ndarray, present: np.ndarray) -> pa.RecordBatch:
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (total, present)]
-    return pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int64()), *lists], names=["block", "occurrences", "units"])
+    """A block's counts: whole arrays, or where most are 0 the places of the others and their counts."""
+    at = np.flatnonzero(present).astype(np.int32)
+    if len(at) > BLOCK // 2:
+        at = at[:0]
+    else:
+        total, present = total[at], present[at]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (at, total, present)]
+    return pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int64()), *lists], names=["block", "places", "occurrences", "units"])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +105,10 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if current is not None:
                     yield rows(current, total, present)
                 current, total, present = block, np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-            total += batch.column(1)[k].values.to_numpy()
-            present += batch.column(2)[k].values.to_numpy()
+            places = batch.column(1)[k].values.to_numpy()
+            at = places if len(places) else slice(None)
+            total[at] += batch.column(2)[k].values.to_numpy()
+            present[at] += batch.column(3)[k].values.to_numpy()
     if current is not None:
         yield rows(current, total, present)
 

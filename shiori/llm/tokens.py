@@ -6,16 +6,18 @@ import base64
 from collections.abc import Iterator
 from functools import cache
 from hashlib import md5
+from os.path import basename
 
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .lookalike import visible_form
 
-#: The rank file; it must lie at this place on every executor.
+#: The rank file on the driver, which hands it to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of these rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,8 +46,10 @@ def with_sizes(documents: DataFrame, path: str = TOKENIZER, copies: bool = True)
     fields = [*rows.schema.fields[:2], StructField("n_tokens", IntegerType()), *[StructField("copies", StringType())] * copies]
     names = [f.name for f in fields]
 
+    documents.sparkSession.sparkContext.addFile(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(SparkFiles.get(basename(path))).encode_ordinary
         for batch in batches:
             texts = batch.column(2).to_pylist()
             columns = [batch.column(0), batch.column(1), pa.array([len(encode(t)) for t in texts], pa.int32())]
