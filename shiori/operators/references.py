@@ -18,8 +18,8 @@ from ..sources.tables import table
 from .joins import HOT_ROWS, hot_join
 
 REFERENCE = ["parent_table", "ref_id", "table_name", "record_id", "ref_field", "period"]
-#: Orphan keys up to this number are broadcast: below 100 bytes a key, that is 20 MB.
-BROADCAST_KEYS = 200_000
+#: Orphan keys up to this number and size in bytes are broadcast.
+BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 20_000_000
 
 
 def month_of(stamp: Column) -> Column:
@@ -44,7 +44,7 @@ def orphans(references: DataFrame, parents: DataFrame, broadcast_keys: int = BRO
     """Each distinct reference to a key without a live parent: columns REFERENCE.
 
     Defined results: a null reference is none, the empty string is one; keys compare exactly; repeated
-    rows count once; a reference whose table is unknown (parent_table null) is an orphan; empty inputs
+    rows count once, with their earliest period; a reference whose table is unknown (parent_table null) is an orphan; empty inputs
     give no rows. Orphan keys up to broadcast_keys are broadcast, more of them take a join that splits
     hot keys.
     """
@@ -52,11 +52,13 @@ def orphans(references: DataFrame, parents: DataFrame, broadcast_keys: int = BRO
     parents = parents.where(F.col("parent_table").isNotNull())
     keys = cut(orphan_keys(references, parents))
     on = ["parent_table", "ref_id"]
-    if keys.count() <= broadcast_keys:
+    size = keys.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("ref_id") + F.octet_length("parent_table")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= broadcast_keys and size["bytes"] <= BROADCAST_BYTES:
         bad = references.join(F.broadcast(keys), on)
     else:
         bad = hot_join(references, keys, on, hot_rows=hot_rows)
-    return bad.select(*REFERENCE).dropDuplicates(["table_name", "record_id", "ref_field", "ref_id", "parent_table"])
+    # Of several times of one reference the earliest counts.
+    return bad.groupBy("table_name", "record_id", "ref_field", "ref_id", "parent_table").agg(F.min("period").alias("period")).select(*REFERENCE)
 
 
 def record_references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -21,10 +21,11 @@ live AS (
   UNION SELECT 'evidence', evidence_id FROM evidence WHERE deleted_at IS NULL
 ),
 bad AS (
-  SELECT DISTINCT table_name, record_id, ref_field, refs.ref_id, refs.parent_table,
-    CASE WHEN regexp_full_match(stamp, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})')
-      THEN strftime(try_cast(stamp AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m') END AS period
+  SELECT table_name, record_id, ref_field, refs.ref_id, refs.parent_table,
+    min(CASE WHEN regexp_full_match(stamp, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})')
+      THEN strftime(try_cast(stamp AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m') END) AS period
   FROM refs WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.parent_table = refs.parent_table AND live.ref_id = refs.ref_id)
+  GROUP BY ALL
 )
 """
 

@@ -56,7 +56,9 @@ def ship(spark: SparkSession) -> None:
     """Hand this package to the session's Python workers, once per session."""
     if spark.conf.get("spark.shiori.shipped", None) is None:
         package = Path(__file__).resolve().parent
-        bundle = shutil.make_archive(f"{tempfile.mkdtemp(prefix='shiori-')}/shiori", "zip", package.parent, package.name)
+        place = tempfile.mkdtemp(prefix="shiori-")  # on the driver, which serves it to the executors
+        atexit.register(shutil.rmtree, place, True)
+        bundle = shutil.make_archive(f"{place}/shiori", "zip", package.parent, package.name)
         spark.sparkContext.addPyFile(bundle)
         spark.conf.set("spark.shiori.shipped", bundle)
 
