@@ -192,7 +192,7 @@ def paragraph_chunks(rows: DataFrame, target_chars: int = TARGET_CHARS) -> DataF
         "opened": (F.col("kind").isin("t", "c", "g") | is_heading, _place()),
     })
     section = F.coalesce(F.concat_ws("\x1f", F.col("opened.seq").cast("string"), F.col("opened.evidence_id")), F.lit(""))
-    paragraphs = flow.where(F.col("kind") == "p").select("document_id", section.alias("section"), "seq", "evidence_id", "value", "paragraph_index", "heading", F.length("value").alias("size"), F.length("heading.value").alias("heading_size"))
+    paragraphs = cut(flow.where(F.col("kind") == "p").select("document_id", section.alias("section"), "seq", "evidence_id", "value", "paragraph_index", "heading", F.length("value").alias("size"), F.length("heading.value").alias("heading_size")))
     ordered = paragraphs.select("document_id", "section", "seq", "evidence_id", "size", "heading_size").repartition("document_id", "section").sortWithinPartitions("document_id", "section", "seq", "evidence_id")
     packed = ordered.mapInArrow(_pack(target_chars), "document_id string, section string, seq long, evidence_id string, chunk int, again boolean")
     joined = paragraphs.join(packed, ["document_id", "section", "seq", "evidence_id"])

@@ -225,22 +225,26 @@ def _unit_rows(units: DataFrame) -> DataFrame:
     return units.select("document_id", F.array_join("source_evidence_ids", ",").alias("sources"), "search_text", F.to_json("locator").alias("locator"))
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return derive.events(records.evidence(spark, folder))
+
+
 def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    units = derive.paragraph_chunks(derive.events(records.evidence(spark, folder)))
+    units = derive.paragraph_chunks(_events(spark, folder))
     return _unit_rows(units).drop("locator")
 
 
 def table_row_units(spark: SparkSession, folder: str) -> DataFrame:
-    units = derive.table_rows(derive.events(records.evidence(spark, folder)))
+    units = derive.table_rows(_events(spark, folder))
     return units.select("document_id", F.array_join("source_evidence_ids", ",").alias("sources"), "search_text", "is_header_candidate", F.array_join("header_labels", "|").alias("header_labels"))
 
 
 def slide_units(spark: SparkSession, folder: str) -> DataFrame:
-    return _unit_rows(derive.slide_texts(derive.events(records.evidence(spark, folder)))).drop("locator")
+    return _unit_rows(derive.slide_texts(_events(spark, folder))).drop("locator")
 
 
 def page_units(spark: SparkSession, folder: str) -> DataFrame:
-    return _unit_rows(derive.page_texts(derive.events(records.evidence(spark, folder)))).drop("locator")
+    return _unit_rows(derive.page_texts(_events(spark, folder))).drop("locator")
 
 
 def derived_units(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,7 +272,7 @@ def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cell_positions(spark: SparkSession, folder: str) -> DataFrame:
-    cells = derive.cells(derive.events(records.evidence(spark, folder)).where(F.col("kind") == "c"))
+    cells = derive.cells(_events(spark, folder).where(F.col("kind") == "c"))
     return cells.select("evidence_id", F.replace("container", F.lit("\x1f"), F.lit("/")).alias("container"), "row_no", "column_no", "label")
 
 
