@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.ids import content_hash, ordered, stable_id
 from .joins import hot_join
@@ -31,6 +32,25 @@ def assert_clean(violations: DataFrame) -> None:
         raise ValueError("violations: " + "; ".join(f"{r['check']}: {r['record_id']}" for r in rows))
 
 
+# The fields that the parts of a search unit may have.
+UNIT_FIELDS = {
+    "": ["schema_version", "record_type", "search_unit_id", "document_id", "unit_type", "source_evidence_ids", "locator", "text", "context", "provenance"],
+    "text": ["search_text", "sha256", "char_count"],
+    "provenance": ["builder", "builder_version", "generated_at", "deterministic"],
+    "locator": ["page_number", "slide_number", "sheet_name", "table_index", "shape_id", "row_index", "paragraph_start", "paragraph_end"],
+    "context": ["heading_text", "container_kind", "container_heading_text", "container_heading_evidence_ids", "header_labels", "header_evidence_ids", "header_method", "is_header_candidate"],
+}
+
+
+def unexpected_fields(schema: StructType, allowed: dict[str, list[str]]) -> list[str]:
+    """Names of fields (nested ones as a.b) that a table has beyond the allowed ones of its parts; '' is the top."""
+    out = [f.name for f in schema.fields if f.name not in allowed[""]]
+    for part, names in allowed.items():
+        if part and part in schema.names and isinstance(schema[part].dataType, StructType):
+            out += [f"{part}.{f.name}" for f in schema[part].dataType.fields if f.name not in names]
+    return sorted(out)
+
+
 def repeated(df: DataFrame, key: str, content: list[str]) -> DataFrame:
     """Keys that stand for different contents."""
     return df.groupBy(key).agg(F.count_distinct(F.struct(*content)).alias("n")).where(F.col("n") > 1)

@@ -124,3 +124,10 @@ def test_source_files_are_hashed_again(spark):
     assert found(quality.source_files(documents(spark, source=("../b.docx", "00", 7)), files)) == {"source path leaves the root"}
     assert found(quality.source_files(documents(spark, source=("a/x.docx", "00", 7)), files)) == {"source file missing"}
     assert found(quality.source_files(documents(spark), files.withColumn("sha256", F.lit("11")).withColumn("size_bytes", F.lit(8).cast("long")))) == {"source hash wrong", "source size wrong"}
+
+
+def test_unexpected_fields_are_named(spark):
+    df = units(spark)
+    assert quality.unexpected_fields(df.schema, quality.UNIT_FIELDS) == []
+    more = df.withColumn("score", F.lit(1)).withColumn("text", F.struct("text.*", F.lit("x").alias("lang")))
+    assert quality.unexpected_fields(more.schema, quality.UNIT_FIELDS) == ["score", "text.lang"]
