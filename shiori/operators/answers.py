@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compatible, strip
+from ..session import cut
 from .containment import contains
 
 # The categories of a diagnosis, and the abstention.
@@ -27,9 +28,11 @@ def diagnose(questions: DataFrame, predictions: DataFrame, chunks: DataFrame, hi
     The corpus is searched by anchors (operators.containment), not question by question.
     """
     asked = questions.where(F.length("expected") > 0).select("query_id", "expected")
-    where = contains(chunks.select("cid", "text"), "cid", "text", asked, "expected").select("query_id", "cid").distinct()
-    corpus = where.select("query_id").distinct().withColumn("in_corpus", F.lit(True))
-    top = where.join(hits.select("query_id", "cid").distinct(), ["query_id", "cid"]).select("query_id").distinct().withColumn("in_top", F.lit(True))
+    # Chunks meet answers, not the questions that expect the same: these would be rows by chunks.
+    where = cut(contains(chunks.select("cid", "text"), "cid", "text", asked.select("expected").distinct(), "expected"))
+    corpus = asked.join(where.select("expected").distinct(), "expected", "left_semi").select("query_id").distinct().withColumn("in_corpus", F.lit(True))
+    shown = asked.join(hits.select("query_id", "cid"), "query_id")
+    top = shown.join(where, ["cid", "expected"], "left_semi").select("query_id").distinct().withColumn("in_top", F.lit(True))
     rows = questions.select("query_id", "expected").join(predictions.select("query_id", "predicted"), "query_id", "left").join(corpus, "query_id", "left").join(top, "query_id", "left")
     rows = rows.withColumn("predicted", F.coalesce("predicted", F.lit(ABSTAIN)))
     automatic = classify(compatible("expected"), compatible("predicted"), F.col("in_corpus"), F.col("in_top"))
